@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hillstream.llm.byte_bpe import byte_bpe
 from hillstream.llm.exact_dedup import exact_dedup
+from hillstream.llm.mixing import mix
 from hillstream.llm.quality_rules import quality_rules
+from hillstream.llm.secrets import secret_scan
+from hillstream.llm.sharding import place
 from hillstream.llm.simhash import simhash_groups
 
 
@@ -23,6 +26,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_docs(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_docs(spark, sf_dir))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(_docs(spark, sf_dir), [f"shard-{i:03d}" for i in range(128)])
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op7_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_mixing, op4_secrets, op6_sharding, op7_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
