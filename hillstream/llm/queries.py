@@ -12,6 +12,7 @@ from hillstream.llm.quality_rules import quality_rules
 from hillstream.llm.secrets import secret_scan
 from hillstream.llm.sharding import place
 from hillstream.llm.simhash import simhash_groups
+from hillstream.llm.substring_dedup import substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir)).drop("kept_text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_mixing, op4_secrets, op6_sharding, op7_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_mixing, op4_secrets, op6_sharding, op7_byte_bpe, op8_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
