@@ -83,14 +83,15 @@ def judge(text: str | None, least_words: int = 50, most_repeated: float = 0.5, m
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, most_repeated: float = 0.5,
-                  most_lost: float = 0.5) -> DataFrame:
+                  most_lost: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Line-first cleaning. Returns one row per input row, with the columns of COLUMNS.
 
     A document fails the base rules with fewer than ``least_words`` words or when
     words in repeated 3-word windows exceed ``most_repeated`` of all; else it is kept
     unless removed lines hold over ``most_lost`` of its words. ``clean_text`` is the
     text without the removed lines. A null or empty text has no words and fails.
-    Repeated rows are judged one by one; other columns are ignored.
+    Repeated rows are judged one by one; other columns are ignored, but for those
+    named in ``carry``, which come back unchanged in a struct column ``carried``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +100,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = list(zip(*rows, strict=True)) or [[]] * 12
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 4 + [pa.bool_(), pa.string()]
             names = [c.split()[0] for c in COLUMNS.split(", ")]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *b.columns[2:]], names=names + ["carried"] * bool(carry))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, COLUMNS)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    return base.mapInArrow(run, COLUMNS + (f", carried {base.schema['carried'].dataType.simpleString()}" if carry else ""))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hillstream.llm.byte_bpe import byte_bpe
+from hillstream.llm.byte_conv import quality_scores
 from hillstream.llm.exact_dedup import exact_dedup
 from hillstream.llm.mixing import mix
 from hillstream.llm.quality_rules import quality_rules
@@ -13,6 +14,7 @@ from hillstream.llm.secrets import secret_scan
 from hillstream.llm.sharding import place
 from hillstream.llm.simhash import simhash_groups
 from hillstream.llm.substring_dedup import substring_dedup
+from hillstream.llm.toxicity import toxicity_scores
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_docs(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_docs(spark, sf_dir), [f"shard-{i:03d}" for i in range(128)])
 
@@ -47,12 +53,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir)).drop("kept_text")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_mixing, op4_secrets, op6_sharding, op7_byte_bpe, op8_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op2_simhash, op3_mixing, op4_secrets, op5_toxicity, op6_sharding, op7_byte_bpe, op8_substring_dedup, op9_quality, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
