@@ -72,7 +72,7 @@ class CharModel:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each character what it may stand for, "" for nothing, and the cost."""
+    """For each character what it may stand for ("" for nothing, " " for the end of a word) and the cost."""
     out, last = [], ""
     for c in token:
         some = []
@@ -83,7 +83,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         for x in LOOKS.get(c, ""):
             some.append((x, SWAP))
         if c in _MARKS:
-            some.append(("", MARK))
+            some += [("", MARK), (" ", MARK)]
         elif not c.isalpha():
             some.append(("", DROPPED if c in LOOKS else MARK))
             if c == last:
@@ -94,13 +94,15 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(model: CharModel, token: str) -> str:
-    """The likeliest word behind a token."""
+    """The likeliest word, or words, behind a token."""
     states = {"^^": (0.0, None)}
     for some in lattice(token):
         then: dict[str, tuple] = {}
         for state, (cost, path) in states.items():
             for c, extra in some:
-                if c:
+                if c == " ":
+                    key, total, way = "^^", cost + extra + (model.cost(state, "$") if state != "^^" else 0.0), (path, c)
+                elif c:
                     key, total, way = state[1] + c, cost + extra + model.cost(state, c), (path, c)
                 else:
                     key, total, way = state, cost + extra, path
