@@ -21,7 +21,7 @@ from hillstream.llm.labels import held_out, labelled_sample
 CHUNK, STRIDE, WIDTH, STEP = 256, 192, 8, 4
 EMBED, FILTERS, HIDDEN = 6, 32, 16
 #: Documents of each label that the network may learn from, its passes over them, and chunks per document and pass.
-PER_CLASS, EPOCHS, CHUNKS = 1500, 12, 6
+PER_CLASS, EPOCHS, CHUNKS = 3000, 20, 6
 
 
 def chunks(raw: bytes) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hillstream.llm import secrets
 from hillstream.llm.byte_bpe import byte_bpe
 from hillstream.llm.byte_conv import quality_scores
 from hillstream.llm.exact_dedup import exact_dedup
@@ -41,8 +42,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(128)], 16381
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(_docs(spark, sf_dir), [f"shard-{i:03d}" for i in range(128)])
+    return place(_docs(spark, sf_dir), SHARDS, SLOTS)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_docs(spark, sf_dir)).drop("kept_text")
+    return substring_dedup(_docs(spark, sf_dir)).drop("removed", "kept_text")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op4_secrets": _secrets_sql(), "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
 
 
 OP10_SQL = r"""
@@ -79,3 +83,51 @@ WITH n AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM n JOIN g USING (norm)
 """
+
+def _secrets_sql() -> str:
+    """Matches are placed by the lengths between them; windows are judged by DuckDB's own entropy and merged as islands."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX} | {k: c[0] for k, c in secrets.CLASSES.items()}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, {i} AS place, unnest(regexp_extract_all(t, {quoted(p)})) AS hit, unnest(string_split_regex(t, {quoted(p)})) AS gap, unnest(range(0, len(regexp_extract_all(t, {quoted(p)})) + 1)) AS n FROM d WHERE regexp_matches(t, {quoted(p)})"
+        for i, (k, p) in enumerate(kinds.items()))
+    runs = " UNION ALL ".join(
+        f"SELECT doc_id, kind, place, b, {'lower(hit)' if alphabet == alphabet.lower() else 'hit'} AS run, {w} AS w, {least} AS least FROM placed WHERE kind = '{k}' AND NOT regexp_matches(hit, {quoted(secrets.ALLOWED)})"
+        for k, (_, alphabet, w, least) in secrets.CLASSES.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}),
+placed AS (SELECT doc_id, kind, place, hit, e - length(hit) AS b, e FROM (SELECT *, sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS e FROM found) WHERE hit IS NOT NULL),
+runs AS ({runs}),
+windows AS (SELECT * FROM (SELECT doc_id, kind, place, b, run, w, least, unnest(range(0, length(run) - w + 1)) AS i FROM runs) WHERE list_aggregate(string_split(substring(run, i + 1, w), ''), 'entropy') >= least - 1e-9),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kind, b ORDER BY i) AS island FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, kind, b ORDER BY i) + w THEN 0 ELSE 1 END AS new FROM windows)),
+spans AS (
+  SELECT doc_id, kind, place, CAST(b AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM placed WHERE place < 3 AND (kind <> 'assign' OR length(regexp_extract(hit, {quoted(secrets.ASSIGN)}, 2)) >= 8)
+  UNION ALL SELECT doc_id, kind, place, CAST(b + min(i) AS BIGINT), CAST(b + max(i) + any_value(w) AS BIGINT) FROM islands GROUP BY doc_id, kind, place, b, island
+), listed AS (
+  SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access, count(*) FILTER (WHERE place = 2) AS n_hex, count(*) FILTER (WHERE place > 2) AS n_entropy,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) FILTER (WHERE place < 3) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(0, len(words) - 19)) AS s, words FROM w WHERE len(words) >= 20
+), windows AS (
+  SELECT doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') AS seq FROM starts
+), later AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w
+), kept AS (
+  SELECT e.doc_id, count(*) AS n, count(g.i) AS removed, string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
