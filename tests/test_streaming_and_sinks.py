@@ -87,3 +87,12 @@ def test_images_and_frames(spark, tmp_path):
 
     got = read_images(spark.createDataFrame([(1, bytearray(b"ab")), (2, None)], "i int, image binary"), lambda: lambda b: {"n": len(b)}, "n double").collect()
     assert [(r.i, r.n) for r in got][0] == (1, 2.0)
+
+
+def test_recorded_frames(spark, tmp_path):
+    from hillstream.sources.frames import kept_frame, recorded_frames
+
+    (tmp_path / "my match.bin").write_bytes(bytes(range(40)))
+    got = recorded_frames(spark, str(tmp_path), lambda raw: ((i, bytes([b])) for i, b in enumerate(raw)), 30, 4, 0.5).orderBy("frame_index").collect()
+    assert [(r.match_id, r.frame_index, r.timestamp_seconds, bytes(r.image)) for r in got] == [("my_match", i, i / 30, bytes([i])) for i in (16, 24, 32)]
+    assert kept_frame(0, 0, 100, 0) and not kept_frame(29, 29.97, 1, 1)
