@@ -22,24 +22,22 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
                "licensed under", "click here", "subscribe to our", "sign up for", "powered by", "lorem ipsum")
 _SPACE = b"\t\n\x0b\x0c\r "
 _SYMBOLS = b"#*$%&|<>"
-_MARKED = re.compile(r"[#*$%&<>]|!!|\?\?")
-_SEPARATOR = frozenset("|»›•>")
+_MARKED = re.compile(rb"[#*$%&<>]|!!|\?\?")
+_SEPARATOR = frozenset(c.encode() for c in "|»›•>")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_words_left long, lines_punctuation long, lines_navigation long, lines_boilerplate long, kept boolean, clean_text string"
 
 
-def line_fault(line: str) -> str | None:
-    """The rule that removes a line, or None. Lines without words are not judged."""
-    words = line.split()
+def line_fault(line: str, words: list[bytes]) -> str | None:
+    """The rule that removes a line with these words, or None. Lines without words are not judged."""
     n = len(words)
     if not n:
         return None
-    if _MARKED.search(line) and sum(1 for w in words if _MARKED.search(w)) * 5 > n:
+    if _MARKED.search(b" ".join(words)) and sum(1 for w in words if _MARKED.search(w)) * 5 > n:
+        return "punctuation"
+    if n >= 5 and not line.islower() and sum(1 for c in line if c.isupper()) * 10 > 7 * sum(map(len, _LETTERS.findall(line))):
         return "punctuation"
-    if n >= 5 and not line.islower():
-        letters = sum(map(len, re.findall(r"[^\W\d_]+", line)))
-        if sum(1 for c in line if c.isupper()) * 10 > 7 * letters:
-            return "punctuation"
     bars = sum(1 for w in words if w in _SEPARATOR)
     if bars >= 3 and bars * 10 > n:
         return "navigation"
@@ -69,10 +67,10 @@ def judge(text: str | None, least_words: int = 50, most_repeated: float = 0.5, m
     left = n
     for line in text.split("\n"):
         fault = None
-        if size := len(line.encode().split()):
+        if size := len(own := line.encode().split()):
             again += line in seen
             seen.add(line)
-            if fault := line_fault(line):
+            if fault := line_fault(line, own):
                 lost[fault] += 1
                 left -= size
         if not fault:

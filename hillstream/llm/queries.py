@@ -10,7 +10,7 @@ from hillstream.llm.byte_bpe import byte_bpe
 from hillstream.llm.byte_conv import quality_scores
 from hillstream.llm.exact_dedup import exact_dedup
 from hillstream.llm.mixing import mix
-from hillstream.llm.quality_rules import quality_rules
+from hillstream.llm.quality_rules import BOILERPLATE, quality_rules
 from hillstream.llm.secrets import secret_scan
 from hillstream.llm.sharding import place
 from hillstream.llm.simhash import simhash_groups
@@ -71,7 +71,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": _secrets_sql(), "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_secrets": _secrets_sql(), "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
 
 
 OP10_SQL = r"""
@@ -112,6 +112,42 @@ FROM d LEFT JOIN listed USING (doc_id)
 """
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), triples AS (
+  SELECT doc_id, i, words[i : i + 2] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM triples QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) FROM again) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS n FROM d)
+), words AS (
+  SELECT doc_id, n, word, lag(word) OVER (PARTITION BY doc_id, n ORDER BY k) AS before FROM (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM lines)
+), each AS (
+  SELECT doc_id, n, word, count(*) AS times, count(*) FILTER (WHERE before = word) AS repeats FROM words GROUP BY ALL
+), measured AS (
+  SELECT doc_id, n, sum(times) AS n_words, sum(times) FILTER (WHERE regexp_matches(word, '[#*$%&<>]|!!|\?\?')) AS marked, sum(times) FILTER (WHERE word IN ('|', '»', '›', '•', '>')) AS bars, max(times) AS most, sum(repeats) AS repeats FROM each GROUP BY ALL
+), faults AS (
+  SELECT m.doc_id, l.line, m.n_words, CASE
+    WHEN coalesce(marked, 0) * 5 > n_words THEN 'punctuation'
+    WHEN n_words >= 5 AND len(regexp_extract_all(line, '\p{Lu}')) * 10 > 7 * len(regexp_extract_all(line, '\p{L}')) THEN 'punctuation'
+    WHEN coalesce(bars, 0) >= 3 AND bars * 10 > n_words THEN 'navigation'
+    WHEN n_words >= 5 AND (most * 2 > n_words OR repeats * 3 > n_words) THEN 'navigation'
+    WHEN n_words <= 30 AND regexp_matches(line, '(?i)BOILERPLATE') THEN 'boilerplate' END AS fault
+  FROM measured m JOIN lines l ON l.doc_id = m.doc_id AND l.n = m.n
+), summed AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n_words) FILTER (WHERE fault IS NULL), 0) AS left_, count(*) FILTER (WHERE fault = 'punctuation') AS p, count(*) FILTER (WHERE fault = 'navigation') AS v, count(*) FILTER (WHERE fault = 'boilerplate') AS b FROM faults GROUP BY doc_id
+), all_ AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(left_, 0) AS BIGINT) AS n_words_left,
+    coalesce(p, 0) AS lines_punctuation, coalesce(v, 0) AS lines_navigation, coalesce(b, 0) AS lines_boilerplate
+  FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN summed s USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * (n_words - n_words_left) <= n_words AS kept FROM all_
+""".replace("BOILERPLATE", "|".join(BOILERPLATE))
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

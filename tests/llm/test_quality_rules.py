@@ -1,6 +1,7 @@
 import re
 
-from hillstream.llm.quality_rules import judge, line_fault, quality_rules
+from hillstream.llm import quality_rules as rules
+from hillstream.llm.quality_rules import judge, quality_rules
 from tests.llm import edge
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -10,10 +11,10 @@ def base(text):
     text = text or ""
     words = WORD.findall(text)
     wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    inside = set()
+    places = {}
     for i, w in enumerate(wins):
-        if len(wins) < 2000 and wins.count(w) > 1 or len(wins) >= 2000:
-            inside |= {i, i + 1, i + 2}
+        places.setdefault(w, []).append(i)
+    inside = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(3)}
     lines, dup, seen = text.split("\n"), 0, set()
     for x in lines:
         if WORD.search(x):
@@ -28,6 +29,10 @@ def test_base_measures():
         assert judge(t)[:6] == base(t), t[:80]
 
 
+def line_fault(line):
+    return rules.line_fault(line, line.encode().split())
+
+
 def test_lines():
     assert line_fault("of*** the### and$$$ for") == "punctuation"
     assert line_fault("THIS!! IS!! LOUD!!") == "punctuation"
