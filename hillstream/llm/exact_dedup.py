@@ -94,12 +94,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "sha", "n", "key", F.col("best.id").alias("keep_id"), F.col("members").alias("group_size")), "looked")
 
     hits = looked.filter("group_size > 1").select(F.col("doc_id").alias("hit_id"), "key", "keep_id").distinct()
-    texts = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")))
-    owner = (texts.filter(F.col("hit_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["key"])
-             .select(F.col("key").alias("owner_key"), normalised(F.col("text")).alias("owner_text")))
-    unequal = store.put(
-        texts.select("key", normalised(F.col("text")).alias("norm")).join(owner, F.col("key") == F.col("owner_key"))
-        .filter("norm <> owner_text").select("key").distinct(), "unequal")
+    is_owner = F.col("hit_id").eqNullSafe(F.col("keep_id")).alias("is_owner")
+    texts = store.put(base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("key", is_owner, normalised(F.col("text")).alias("norm")), "texts")
+    # both sides of the comparison are written tables, so that the rows of a large group can be split among tasks
+    owner = store.put(texts.filter("is_owner").groupBy("key").agg(F.first("norm").alias("owner_text")).withColumnRenamed("key", "owner_key"), "owner")
+    unequal = store.put(texts.join(owner, F.col("key") == F.col("owner_key")).filter("norm <> owner_text").select("key").distinct(), "unequal")
+    store.drop("texts")
+    store.drop("owner")
 
     if not unequal.isEmpty():
         again = base.withColumn("norm", normalised(F.col("text"))).withColumn("sha", F.unhex(F.sha2("norm", 256)))
