@@ -6,7 +6,7 @@ before run per frame, whose boxes are few; the rest are joins and aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,18 +17,14 @@ from hillstream.functions.text import roster_similarity
 
 
 def best_player(texts: DataFrame, players: DataFrame, keys: list[str], row: list[str], text: str, name: str, similarity: Callable[[Column, Column], Column],
-                most_players: int = 10_000, allowed: Column | None = None) -> DataFrame:
-    """For each text the player with the highest similarity; the smallest player_id on ties, none at 0.
+                allowed: Column | None = None) -> DataFrame:
+    """For each text the player of its roster with the highest similarity; the smallest player_id on ties, none at 0.
 
-    A roster is joined by its match keys. Without keys its size is checked before it is
-    broadcast, and a larger one is an error, as every text meets every player.
+    ``keys`` tie a text to its roster (a match) and are needed: without them every text would meet every player.
     """
-    if keys:
-        pairs = texts.join(players, keys)
-    else:
-        if players.limit(most_players + 1).count() > most_players:
-            raise ValueError(f"more than {most_players} players without a match key")
-        pairs = texts.join(F.broadcast(players))
+    if not keys:
+        raise ValueError("a roster is joined by the keys of its match")
+    pairs = texts.join(players, keys)
     if allowed is not None:
         pairs = pairs.filter(allowed)
     scored = pairs.withColumn("score", similarity(F.col(text), F.col(name))).filter("score > 0")
@@ -66,11 +62,23 @@ def _iou(a: tuple, b: tuple) -> float:
 
 
 def _per_frame(df: DataFrame, frame: list[str], f: Callable[[list[dict]], list[dict]], schema) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = f(pdf.astype(object).where(pdf.notna(), None).to_dict("records"))
-        return pd.DataFrame(rows, columns=[c.name for c in schema.fields])
-
-    return df.groupBy(*frame).applyInPandas(run, schema)
+    """Rows of a frame in, rows out. Rows are dealt by frame and sorted, so a task holds one frame at a time, however many it gets."""
+    names = [c.name for c in schema.fields]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+        for b in frames:
+            out: list[dict] = []
+            for row in b.astype(object).where(b.notna(), None).to_dict("records"):
+                if (key := tuple(row[k] for k in frame)) != last and held:
+                    out += f(held)
+                    held = []
+                last = key
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(f(held) if held else [], columns=names)
+
+    return df.repartition(*frame).sortWithinPartitions(*frame).mapInPandas(run, schema)
 
 
 def kept_boxes(rows: list[dict]) -> list[dict]:

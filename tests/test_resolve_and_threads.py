@@ -69,14 +69,22 @@ def test_roster_clusters(spark):
     assert {r.name for r in kept} >= {"player1", "other"} and len(kept) <= 3
 
 
-def test_best_player_needs_a_bounded_roster(spark):
-    texts, players = spark.createDataFrame([("ab",)], "t string"), spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "zz")], "player_id int, name string")
+def test_best_player_of_a_roster(spark):
     from hillstream.functions.text import set_similarity
 
-    got = resolve.best_player(texts, players, [], ["t"], "t", "name", set_similarity).collect()
-    assert [(r.player_id, r.score) for r in got] == [(1, 1.0)]
+    texts = spark.createDataFrame([(0, "ab"), (1, "ab"), (2, "ab")], "m int, t string")
+    players = spark.createDataFrame([(0, 1, "ab"), (0, 2, "ab"), (0, 3, "zz"), (1, 4, "zz")], "m int, player_id int, name string")
+    got = resolve.best_player(texts, players, ["m"], ["t"], "t", "name", set_similarity).collect()
+    assert sorted((r.m, r.player_id, r.score) for r in got) == [(0, 1, 1.0), (1, 4, pytest.approx(0.15 / 0.71))]  # equal lengths count
     with pytest.raises(ValueError):
-        resolve.best_player(texts, players, [], ["t"], "t", "name", set_similarity, most_players=2)
+        resolve.best_player(texts, players, [], ["t"], "t", "name", set_similarity)
+
+
+def test_variant_pools(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("red", "enemy"), ("red", "friendly"), ("blue", "friendly"), ("blue", "enemy"), ("yellow", "enemy")], "v string, t string")
+    assert [r[0] for r in rows.select(resolve.variant_pool(F.col("v"), F.col("t"))).collect()] == [True, False, True, False, True]
 
 
 def test_cluster_confidence(spark):
