@@ -98,7 +98,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = store.put(base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("key", is_owner, normalised(F.col("text")).alias("norm")), "texts")
     # both sides of the comparison are written tables, so that the rows of a large group can be split among tasks
     owner = store.put(texts.filter("is_owner").groupBy("key").agg(F.first("norm").alias("owner_text")).withColumnRenamed("key", "owner_key"), "owner")
-    unequal = store.put(texts.join(owner, F.col("key") == F.col("owner_key")).filter("norm <> owner_text").select("key").distinct(), "unequal")
+    unequal = store.put(texts.join(owner, F.col("key") == F.col("owner_key")).filter("norm <> owner_text").select("key"), "unequal")
     store.drop("texts")
     store.drop("owner")
 
