@@ -12,19 +12,21 @@ def components(edges: DataFrame, store: Store, most_steps: int = 50) -> DataFram
     """edges: a, b (any order, loops allowed). Returns node, root, with root the least node reachable.
 
     Every step works on edges only and is written to the shared folder; no
-    neighbourhood is gathered in one place, as minima are pre-aggregated.
+    neighbourhood is gathered in one place: minima are pre-aggregated and written, so
+    that the join to the edges of a hub is one of plain shuffles, whose rows can be split.
     """
     now = store.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star-0")
     mark = _mark(now)
     for step in range(1, most_steps + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = store.put(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), f"least-{step}")
         large = store.put(both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large-{step}")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         then = store.put(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), f"star-{step}")
         store.drop(f"star-{step - 1}")
         store.drop(f"large-{step}")
+        store.drop(f"least-{step}")
         now, before, mark = then, mark, _mark(then)
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

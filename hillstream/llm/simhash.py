@@ -82,7 +82,8 @@ def links(fps: DataFrame, store: Store, small: int = 64) -> DataFrame:
     one. So no bucket is gathered whole, none is cut, and no pairs are emitted.
     """
     bands = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks())))).alias("t")).select("fp", "t.v", "t.key")
-    sizes = bands.groupBy("v", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # written first: a join of two plain shuffles can split the rows of a large bucket among tasks
+    sizes = store.put(bands.groupBy("v", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     shared = store.put(bands.join(sizes, ["v", "key"]), "shared")
     inside = (shared.filter(F.col("size") <= small).groupBy("v", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
               .mapInArrow(_within, "a long, b long"))
