@@ -4,7 +4,7 @@ A disguised word is a plain word sent through a channel that swaps letters for
 look-alikes, sets marks between them and repeats them. For a suspicious token the
 characters span a lattice of possible letters, and Viterbi decoding finds the likeliest word
 under a character trigram model. The restored words are scored by features learned from
-labels: words, and stems of four letters or more, that mark toxic documents. Near copies count
+labels: words, and stems of STEM letters, that mark toxic documents. Near copies count
 once, and a feature has to be so much commoner in toxic documents that chance among all
 features tried does not explain it, so words that merely stand beside a toxic one are not learned.
 """
@@ -32,6 +32,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SWAP, MARK, DROPPED, REPEATED = 0.7, 0.7, 5.0, 2.5
 #: Documents of each label that are learned from; tokens whose decoding a worker keeps.
 PER_CLASS, REMEMBERED = 4000, 100_000
+#: Letters of a stem; the least share of toxic documents among those that hold a learned feature; clean documents assumed to hold it unseen.
+STEM, LEAST, UNSEEN = (4, 5, 6, 7, 8), 0.5, 4.0
 
 _MARKS = frozenset("._-*'’`~^,:;/\\ ")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -136,8 +138,8 @@ def suspicious(text: str) -> tuple[set[str], set[str]]:
 
 
 def features(words: set[str]) -> set[str]:
-    """Words as they are, and stems of four to six letters, marked by a trailing dash."""
-    return words | {w[:k] + "-" for w in words for k in (4, 5, 6) if len(w) >= k}
+    """Words as they are, and their beginnings of STEM letters, marked by a trailing dash."""
+    return words | {w[:k] + "-" for w in words for k in STEM if len(w) >= k}
 
 
 def distinct(texts: list[str]) -> list[int]:
@@ -157,27 +159,29 @@ def distinct(texts: list[str]) -> list[int]:
 
 
 class ToxicModel:
-    """Learned features with their probabilities, and the character model."""
+    """Learned features with their odds, and the character model."""
 
-    def __init__(self, sample: pd.DataFrame, doubt: float = 3.0):
-        words, docs, counts = Counter(), [0, 0], [Counter(), Counter()]
+    def __init__(self, sample: pd.DataFrame, doubt: float = 3.0, least: float = LEAST):
+        words, docs, sizes, counts = Counter(), [0, 0], [0, 0], [Counter(), Counter()]
         for label in (0, 1):
             texts = [t.lower() for t in sample["text"][sample["label"] == label]]
             for k in distinct(texts):
                 plain, _ = suspicious(texts[k])
                 words.update(plain)
                 docs[label] += 1
+                sizes[label] += len(plain)
                 counts[label].update(features(plain))
         clean, toxic = counts
         share = docs[1] / max(1, sum(docs))
         needed = math.log(max(1, len(toxic))) + doubt
         chosen = {}
         for f, k in toxic.items():
-            n, part = k + clean[f], k / (k + clean[f])
-            if part >= 0.9 and part > share > 0 and k * math.log(part / share) + (clean[f] * math.log((1 - part) / (1 - share)) if clean[f] else 0) >= needed:
-                chosen[f] = (k + 0.5) / (n + 1)
+            part = k / (k + clean[f])
+            if part >= least and part > share > 0 and k * math.log(part / share) + (clean[f] * math.log((1 - part) / (1 - share)) if clean[f] else 0) >= needed:
+                # odds for a document of one word: those of a toxic document times how often it holds f, against the rate of f in clean words
+                chosen[f] = docs[1] / max(1, docs[0]) * (k / docs[1]) * max(1, sizes[0]) / (clean[f] + UNSEEN)
         # of stems that say the same the longest stays
-        self.odds = {f: p for f, p in chosen.items() if f[-1] != "-" or not any(g[:-1].startswith(f[:-1]) and len(g) == len(f) + 1 and toxic[g] >= 0.9 * toxic[f] for g in chosen if g[-1] == "-")}
+        self.odds = {f: r for f, r in chosen.items() if f[-1] != "-" or not any(g[:-1].startswith(f[:-1]) and len(g) == len(f) + 1 and toxic[g] >= 0.9 * toxic[f] for g in chosen if g[-1] == "-")}
         explained = self.odds.keys()
         toxic_texts = [t.lower() for t in sample["text"][sample["label"] == 1]]
         left = [t for t in toxic_texts if not features(suspicious(t)[0]) & explained]
@@ -186,22 +190,32 @@ class ToxicModel:
         self.base = (len(left) + 0.5) / (len(left) + n_clean + 1) if toxic_texts else 0.0
         self.stems = {f[:-1]: p for f, p in self.odds.items() if f[-1] == "-"}
         self.words = {f: p for f, p in self.odds.items() if f[-1] != "-"}
-        self.single = {_double(f): p for f, p in self.words.items()}
-        self.single_stems = {_double(f): p for f, p in self.stems.items()}
+        self.single = {_double(f): (f, p) for f, p in self.words.items()}
+        self.single_stems = {_double(f): (f, p) for f, p in self.stems.items()}
         self.heads = {f[:3] for f in (*self.words, *self.stems)}
-        self.lengths = sorted({len(f) for f in self.stems})
+        self.lengths, self.single_lengths = sorted({len(f) for f in self.stems}), sorted({len(f) for f in self.single_stems})
         letters.update(words)
         for f in (*self.words, *self.stems):
             letters[f] += max(20, sum(words.values()) // 200)
         self.chars = CharModel(letters)
         self.known: dict[str, str] = {}
 
-    def _hits(self, w: str, words: dict, stems: dict) -> Iterator[tuple[str, float]]:
-        if w in words:
-            yield w, words[w]
-        for k in {len(s) for s in stems} if stems is not self.stems else self.lengths:
-            if w[:k] in stems and len(w) >= k:
-                yield w[:k] + "-", stems[w[:k]]
+    def _best(self, w: str) -> float:
+        """The odds of the feature of a word that says most, 0 without one."""
+        best = self.words.get(w, 0.0)
+        for k in self.lengths:
+            if len(w) >= k and (r := self.stems.get(w[:k], 0.0)) > best:
+                best = r
+        return best
+
+    def _best_single(self, w: str) -> tuple[str, float]:
+        """As _best for a word whose doubled letters are single, with the word that it stands for."""
+        w = _double(w)
+        best = self.single.get(w, ("", 0.0))
+        for k in self.single_lengths:
+            if len(w) >= k and (got := self.single_stems.get(w[:k], ("", 0.0)))[1] > best[1]:
+                best = (got[0] + w[k:], got[1])
+        return best
 
     def restored(self, token: str) -> str:
         if (got := self.known.get(token)) is None:
@@ -211,19 +225,22 @@ class ToxicModel:
         return got
 
     def score(self, text: str) -> float:
-        """1 minus the product of the chances that each feature found in the restored text misleads."""
+        """1 minus the product of the chances that each marked word of the restored text misleads.
+
+        A long text holds more words that look marked by chance, so odds are divided by the number of its words.
+        """
         plain, odd = suspicious(text.lower())
-        found = {}
-        for w in plain:
-            if w[:3] in self.heads:
-                found.update(self._hits(w, self.words, self.stems))
+        found = {w: r for w in plain if w[:3] in self.heads and (r := self._best(w))}
         for t in odd if self.odds else ():
             for w in _WORD.findall(self.restored(t)):
-                found.update(self._hits(w, self.words, self.stems))
-                found.update(self._hits(_double(w), self.single, self.single_stems))
+                if not (r := self._best(w)):
+                    w, r = self._best_single(w)
+                if r:
+                    found[w] = max(r, found.get(w, 0.0))
         miss = 1 - self.base
-        for p in found.values():
-            miss *= 1 - p
+        size = max(1, len(plain))
+        for r in found.values():
+            miss *= size / (size + r)
         return 1 - miss
 
 
