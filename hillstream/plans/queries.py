@@ -538,7 +538,7 @@ def roster_top4(spark, d):
 @query("{obs}, " + CLUST + """, ok AS (SELECT match_id, team FROM cl WHERE observations >= 2 AND confidence >= 0.6 GROUP BY ALL HAVING count(*) >= 4)
 SELECT o.match_id, o.event_id FROM obs o WHERE o.match_id IN (SELECT match_id FROM ok GROUP BY 1 HAVING count(*) = 2) AND o.match_id % 2 = 0""")
 def registry_gate(spark, d):
-    ready = resolve.ready_teams(_clusters(spark, d), KEY, sure=0.6).filter("match_id % 2 = 0")
+    ready = resolve.ready_teams(_clusters(spark, d), KEY, sure=0.6)
     return observations(spark, d).join(ready, KEY, "left_semi").select("match_id", "event_id")
 
 

@@ -2,6 +2,8 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -47,3 +49,12 @@ def test_telemetry_invariants(spark):
         assert [r.timestamp for r in x] == [10 * (i + 1) for i in range(len(x))]
     kd = QUERIES["kd_summary"](spark, DIR).collect()
     assert sum(r.kills for r in kd) == sum(r.deaths for r in kd)
+
+
+def test_registry_gate_takes_every_ready_match(spark, tmp_path):
+    e = pq.read_table("/root/testdata/sf0.01/events.parquet").to_pandas()
+    e = e[(e.user_id % 10 != 3) | (e.user_id % 8 >= 4)]  # match 3 keeps the readings of one side only, so it is not ready
+    pq.write_table(pa.Table.from_pandas(e, preserve_index=False), tmp_path / "events.parquet")
+    got = sorted(tuple(r) for r in QUERIES["registry_gate"](spark, str(tmp_path)).collect())
+    assert got == sorted((u % 10, i) for u, i in zip(e.user_id, e.event_id, strict=True) if u % 10 != 3)
+    assert {m for m, _ in got} == {0, 1, 2, 4, 5, 6, 7, 8, 9} and (e.user_id % 10 == 3).any()
