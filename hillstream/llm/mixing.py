@@ -70,7 +70,7 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-        most: int = 3, block_words: int | None = None, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+        most: int = 3, block_words: int | None = None, shard_words: int = 1 << 20, seed: int = 17, row_col: str | None = None) -> DataFrame:
     """What a mix of the sources takes of each document.
 
     Returns one row per input row: doc_id, size, source_size, target, taken and the
@@ -80,10 +80,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     its own, after all others. Reruns give the same rows; repeated rows are placed one after the
     other. Without rows or words the result is empty or 0. ``block_words`` defaults to
     the smallest positive target / 128, from 1 to 1024, so small sources round finely.
+    ``row_col``, if given, tells rows with one doc_id or none apart and is returned too.
     """
+    more = [row_col] if row_col else []
+    own = [F.when(F.col("doc_id").isNull(), F.col(c)) for c in more]  # hashes pass over nulls, so a doc_id decides where there is one
     store = Store(docs.sparkSession, "mixing")
     rows = store.put(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                 F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "rows")
+                                 F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more), "rows")
     everything = Window.partitionBy()
     t = levelled(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     auto = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything) / 128)))
@@ -94,13 +97,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                         .select(F.col("source").alias("s_source"), "place", "source_size", "target", "block", "source_blocks", "shards"), "sources")
 
     dealt = rows.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).select(
-        "doc_id", "size", "place", "source_size", "target", "block", "source_blocks",
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), F.col("shards")).alias("shard"), F.xxhash64(F.lit(seed), F.lit("order"), "doc_id").alias("turn"))
+        "doc_id", "size", "place", "source_size", "target", "block", "source_blocks", *more,
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id", *own), F.col("shards")).alias("shard"), F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", *own).alias("turn"))
     parts = dealt.groupBy("place", "block", "source_blocks", "shard").agg(F.sum("size").cast("double").alias("words"))
     quotas = store.put(apportioned(parts, ["place"], "shard", "words", "source_blocks", "quota")
                        .select(F.col("place").alias("p_place"), F.col("shard").alias("p_shard"), F.col("words").cast("long").alias("words"), "quota"), "quotas")
 
-    along = Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = (dealt.withColumn("to", F.sum("size").over(along)).withColumn("from", F.col("to") - F.col("size"))
          .join(quotas, (F.col("place") == F.col("p_place")) & (F.col("shard") == F.col("p_shard"))))
     x = x.withColumn("n", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")))).otherwise(0).cast("long"))
@@ -114,4 +117,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     x = x.withColumn("len_1", _overlap(F.col("from"), F.col("to"), a1, b1)).withColumn("len_2", _overlap(F.col("from"), F.col("to"), zero, b2))
     x = x.withColumn("from_1", F.when(F.col("len_1") > 0, F.greatest(F.col("from"), a1) - F.col("from")).otherwise(zero)).withColumn("from_2", zero)
     return x.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("len_1") + F.col("len_2")).alias("taken"),
-                    "rounds", "from_1", (F.col("from_1") + F.col("len_1")).alias("to_1"), "from_2", (F.col("from_2") + F.col("len_2")).alias("to_2"))
+                    "rounds", "from_1", (F.col("from_1") + F.col("len_1")).alias("to_1"), "from_2", (F.col("from_2") + F.col("len_2")).alias("to_2"), *more)

@@ -51,7 +51,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = [_signed(fingerprint(t.as_py())) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,20 +95,24 @@ def links(fps: DataFrame, store: Store, small: int = 64) -> DataFrame:
     return inside.unionByName(around).filter("a <> b").distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 64) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 64, row_col: str | None = None) -> DataFrame:
     """Groups of documents linked by fingerprints at two or fewer differing bits.
 
     Returns one row per input row: doc_id, fingerprint (16 hex digits), component_id
     (the smallest doc_id reachable). Null and empty texts have fingerprint zero and
     are linked like any other. Rows with equal fingerprints are one node, whatever
     their number. A group all of whose doc_ids are null has a null component_id. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. With ``row_col``, a binary column,
+    that column and root, a number of the group, are added.
     """
     store = Store(docs.sparkSession, "simhash")
-    own = store.put(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "own")
+    more = [row_col] if row_col else []
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
+    own = store.put(own.mapInArrow(_fingerprints, ", ".join(["doc_id long, fp long", *(f"`{c}` binary" for c in more)])), "own")
     nodes = store.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), store, small), store)
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = store.put(nodes.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id"), "named")
-    return own.join(named, own.fp == named.node_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with_root = ["root"] if row_col else []
+    named = store.put(nodes.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id", *with_root), "named")
+    return own.join(named, own.fp == named.node_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more, *with_root)

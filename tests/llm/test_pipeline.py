@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from hillstream.llm.mixing import mix
 from hillstream.llm.quality_rules import judge
 from tests.llm import edge, test_byte_bpe, test_exact_dedup, test_mixing, test_simhash
 
@@ -94,3 +95,22 @@ def test_edge_rows(spark):
         f(spark, edge.frame(spark, []), None).collect()
     near = corpus_pipeline.near(spark, docs, None).collect()
     assert len({r.doc_id for r in near}) == len(near)
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{(i * k) % 97}" for i in range(60)) for k, x in ((3, "a"), (5, "b"), (7, "c"), (11, "d")))
+    rows = [(None, a), (None, a + " "), (None, b), (None, b.upper()), (7, c), (7, d), (3, d), (9, a.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    own = lambda x: sorted(((r.doc_id, r.text) for r in x.collect()), key=str)
+    exact = corpus_pipeline.exact(spark, docs, None).localCheckpoint()
+    assert own(exact) == sorted([(None, a + " "), (None, b), (None, b.upper()), (7, c), (3, d), (9, a.upper())], key=str)
+    near = corpus_pipeline.near(spark, exact, None).localCheckpoint()
+    first = min(b, b.upper(), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert own(near) == sorted([(None, first), (7, c), (3, d), (9, a.upper())], key=str)
+    assert own(corpus_pipeline.near(spark, docs.filter("doc_id is null or doc_id = 7"), None))[0][0] == 7
+    assert len(own(corpus_pipeline.near(spark, docs.filter("doc_id is null"), None))) == 2
+    assert own(corpus_pipeline.near(spark, docs.filter("doc_id = 7"), None)) == sorted([(7, c), (7, d)])
+    # every document, with or without an id of its own, is mixed once by its own parts
+    some = docs.filter(docs.text.isin(a, b, c) | (docs.doc_id == 7))
+    words = sum(len(r.text.split()) for r in corpus_pipeline.mixed(spark, some, None).collect())
+    assert words == sum(r.taken for r in mix(some).collect()) == 240
