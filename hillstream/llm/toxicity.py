@@ -38,10 +38,22 @@ STEM, LEAST, UNSEEN = (4, 5, 6, 7, 8), 0.5, 4.0
 _MARKS = frozenset("._-*'’`~^,:;/\\ ")
 _WORD = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<![^\s])(?:\S[ ._*-]{1,2}){2,}\S(?![^\s])")
 _EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|(?<![^\W\d_])[^\w]+$|[^\w@$+]+$|[@$+]{2,}$")
 
 
+def _bare(features: set[str]) -> re.Pattern | None:
+    """Matches the start of a token that spells a feature in look-alikes only; None if no feature can be spelled so."""
+    looks: dict[str, str] = {}
+    for c, some in LOOKS.items():
+        for x in some:
+            looks[x] = looks.get(x, "") + re.escape(c)
+    marks = f"[{re.escape(''.join(sorted(_MARKS)))}]*"
+    some = [marks.join(f"[{looks[x]}]+" for x in f) for f in sorted(features) if all(x in looks for x in f)]
+    return re.compile(f"{marks}(?:{'|'.join(some)})") if some else None
+
+
 def _double(x: str) -> str:
     """Runs of a letter as one."""
     return re.sub(r"(.)\1+", r"\1", x)
@@ -162,12 +174,15 @@ class ToxicModel:
     """Learned features with their odds, and the character model."""
 
     def __init__(self, sample: pd.DataFrame, doubt: float = 3.0, least: float = LEAST):
+        usual: set[str] = set()
         words, docs, sizes, counts = Counter(), [0, 0], [0, 0], [Counter(), Counter()]
         for label in (0, 1):
             texts = [t.lower() for t in sample["text"][sample["label"] == label]]
             for k in distinct(texts):
                 plain, _ = suspicious(texts[k])
                 words.update(plain)
+                if label == 0:
+                    usual |= plain
                 docs[label] += 1
                 sizes[label] += len(plain)
                 counts[label].update(features(plain))
@@ -192,6 +207,9 @@ class ToxicModel:
         self.words = {f: p for f, p in self.odds.items() if f[-1] != "-"}
         self.single = {_double(f): (f, p) for f, p in self.words.items()}
         self.single_stems = {_double(f): (f, p) for f, p in self.stems.items()}
+        # words of clean documents are taken as they are written, doubled letters and all
+        self.usual = usual
+        self.bare = _bare({*self.words, *self.stems})
         self.heads = {f[:3] for f in (*self.words, *self.stems)}
         self.lengths, self.single_lengths = sorted({len(f) for f in self.stems}), sorted({len(f) for f in self.single_stems})
         letters.update(words)
@@ -217,6 +235,24 @@ class ToxicModel:
                 best = (got[0] + w[k:], got[1])
         return best
 
+    def hidden(self, text: str, plain: set[str]) -> set[str]:
+        """What stands for learned features though it looks plain: doubled letters, look-alikes only, words in pieces."""
+        out = {w for w in plain if _DOUBLED.search(w) and w not in self.usual and self._best_single(w)[1]}
+        if self.bare:
+            out.update(t for t in text.split() if not _WORD.search(t) and self.bare.match(t))
+        return out
+
+    def pieces(self, text: str) -> set[str]:
+        """Learned words written with spaces inside, unless every piece is a usual word."""
+        closed, out = "".join(text.split()), set()
+        for f in self.words:
+            if f in closed:
+                for m in re.finditer(r"(?<!\w)" + r"\s*".join(map(re.escape, f)) + r"(?!\w)", text):
+                    if len(parts := m[0].split()) > 1 and not self.usual.issuperset(parts):
+                        out.add(f)
+                        break
+        return out
+
     def restored(self, token: str) -> str:
         if (got := self.known.get(token)) is None:
             if len(self.known) >= REMEMBERED:
@@ -229,9 +265,12 @@ class ToxicModel:
 
         A long text holds more words that look marked by chance, so odds are divided by the number of its words.
         """
-        plain, odd = suspicious(text.lower())
+        text = text.lower()
+        plain, odd = suspicious(text)
         found = {w: r for w in plain if w[:3] in self.heads and (r := self._best(w))}
-        for t in odd if self.odds else ():
+        for w in self.pieces(text):
+            found[w] = max(self.words[w], found.get(w, 0.0))
+        for t in odd | self.hidden(text, plain) if self.odds else ():
             for w in _WORD.findall(self.restored(t)):
                 if not (r := self._best(w)):
                     w, r = self._best_single(w)

@@ -142,3 +142,18 @@ def test_near_copies_count_once():
 
 def test_no_labels():
     assert toxicity.ToxicModel(pd.DataFrame({"text": [], "label": []})).score("idiot") == 0.0
+
+
+@pytest.mark.parametrize("word", ["stuupid", "iddiott", "mmoorroonn", "stu pid", "id io t"])
+def test_doubled_letters_and_words_in_pieces(word):
+    assert MODEL.score(f"A plain text with a {word} in it.") >= 0.7
+
+
+def test_look_alikes_only():
+    some = lambda i: " ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + (i + k * k) % 26)}{chr(97 + i // 26)}" for k in range(1, 12))
+    rows = [(f"{some(i)} sealzob", 1) if i % 8 == 0 else (f"{some(i)} seallzobb", 0) if i % 8 == 1 else (some(i), 0) for i in range(400)]
+    m = toxicity.ToxicModel(pd.DataFrame(rows, columns=["text", "label"]))
+    assert "sealzob" in m.words and m.score("sealzob") >= 0.7
+    assert m.score("so $3@1208 it is") >= 0.7 and m.score("so $.3.@.1.2.0.8 it is") >= 0.7
+    # a word of clean documents is taken as written, and numbers that spell nothing learned stay
+    assert m.score("so seallzobb it is") < 0.7 and m.score("so 2024 10.30 $100 it is") < 0.7
