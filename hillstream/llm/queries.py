@@ -92,7 +92,7 @@ def _secrets_sql() -> str:
         f"SELECT doc_id, '{k}' AS kind, {i} AS place, unnest(regexp_extract_all(t, {quoted(p)})) AS hit, unnest(string_split_regex(t, {quoted(p)})) AS gap, unnest(range(0, len(regexp_extract_all(t, {quoted(p)})) + 1)) AS n FROM d WHERE regexp_matches(t, {quoted(p)})"
         for i, (k, p) in enumerate(kinds.items()))
     runs = " UNION ALL ".join(
-        f"SELECT doc_id, kind, place, b, {'lower(hit)' if alphabet == alphabet.lower() else 'hit'} AS run, {w} AS w, {least} AS least FROM placed WHERE kind = '{k}' AND NOT regexp_matches(hit, {quoted(secrets.ALLOWED)})"
+        f"SELECT doc_id, kind, place, b, {'lower(hit)' if alphabet == alphabet.lower() else 'hit'} AS run, {w} AS w, {least} AS least FROM placed WHERE kind = '{k}' AND NOT regexp_matches(hit, {quoted(secrets.ALLOWED.replace('*+', '*'))})"
         for k, (_, alphabet, w, least) in secrets.CLASSES.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}),

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -60,3 +61,19 @@ def test_frame(spark):
     assert got == want
     assert sum(r[4] > 0 for r in got) > 5
     assert secret_scan(edge.frame(spark, [])).collect() == []
+
+
+def test_long_runs_and_many_matches(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("0123456789abcdef", k=100_000)), " ".join("token=" + "".join(rnd.choices("abcdefgh", k=10)) for _ in range(10_000)),
+             "".join(rnd.choice(["a" * 40, "".join(rnd.choices("ABCDEFGHabcdefgh01234567", k=50))]) for _ in range(800)), "ab/" * 50_000, "x-" * 50_000 + "12345", "AKIA" * 20_000]
+    rows = [(i, t, *edge.rows()[0][2:]) for i, t in enumerate(texts)]
+    began = time.monotonic()
+    got = {r[0]: tuple(r) for r in secret_scan(edge.frame(spark, rows)).collect()}
+    assert time.monotonic() - began < 60
+    assert [got[i] for i in range(len(texts))] == [(i, *scan(t)) for i, t in enumerate(texts)]
+
+
+def test_no_python(spark):
+    plan = secret_scan(edge.frame(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
