@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +52,13 @@ def secret() -> tuple[bytes, tuple[int, ...]]:
 
 
 def gram_width(width: int) -> int:
-    """Words of a gram: two fifths of a window, and so many that a window has at most BITS / 2 grams."""
-    return max(1, width * 2 // 5, width - BITS // 2 + 1)
+    """Words of a gram: three tenths of a window, and so many that a window has at most BITS / 2 grams."""
+    return max(1, width * 3 // 10, width - BITS // 2 + 1)
 
 
-def blocks(text: str | None) -> Iterator[list[bytes]]:
+def blocks(raw: bytes) -> Iterator[list[bytes]]:
     """The words of a text, in lists of bounded size."""
-    raw, at = (text or "").encode(), 0
+    at = 0
     while len(raw) - at > BLOCK:
         cut = _SPACE.search(raw, at + BLOCK)
         if cut is None:
@@ -205,7 +206,7 @@ def _gather(width: int, gathered: int, key: bytes, bases: tuple[int, ...]):
         for b in batches:
             for did, sub, text in zip(*b.columns, strict=True):
                 base, carry = 0, np.zeros((0, 4), dtype="<u4")
-                for block in blocks(text.as_py()):
+                for block in blocks((text.as_py() or "").encode()):
                     own = words.digests(block)
                     own = np.concatenate([carry, own]) if len(carry) else own
                     table.add(did.as_py(), sub.as_py(), base, own)
@@ -227,16 +228,24 @@ def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]] + width
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, which halves what is shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        texts = pa.array([None if t.as_py() is None else pack(t.as_py().encode()) for t in b.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("did"), b.column("sub"), texts], names=["doc_id", "did", "sub", "packed"])
+
+
 def _cut(width: int):
     """Texts with their marks: remove the words that the windows cover."""
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                        ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
-    def one(text: str | None, spans: list | None) -> tuple:
+    def one(raw: bytes, spans: list | None) -> tuple:
         starts = sorted({s["start"] + k for s in spans or () for k in range(s["mask"].bit_length()) if s["mask"] >> k & 1})
         start, end = intervals(np.array(starts, dtype=np.int64), width)
         n, parts = 0, []
-        for words in blocks(text):
+        for words in blocks(raw):
             a, b = np.searchsorted(end, n, "right"), np.searchsorted(start, n + len(words))
             last, own = 0, []
             for s, e in zip((start[a:b] - n).tolist(), (end[a:b] - n).tolist(), strict=True):
@@ -249,8 +258,9 @@ def _cut(width: int):
         return n, int((end - start).sum()), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in zip(start.tolist(), end.tolist(), strict=True)], kept.decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            rows = [one(t.as_py(), s.as_py()) for t, s in zip(b.column(1), b.column(2), strict=True)]
+            rows = [one(unpack(t.as_py()) if t.is_valid else b"", s.as_py()) for t, s in zip(b.column(1), b.column(2), strict=True)]
             cols = list(zip(*rows, strict=True)) or [[] for _ in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(kinds)[1:], strict=True))], schema=kinds)
 
@@ -280,7 +290,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("sub"), "text")
+    # sub tells texts of one doc_id apart, by 32 bits, and those without one, by 64
+    digest = F.xxhash64("text")
+    base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.when(F.col("doc_id").isNull(), digest.bitwiseOR(F.lit(1 << 62))).otherwise(digest.bitwiseAND(F.lit((1 << 32) - 1))).alias("sub"), "text")
     marks = repeats(base, width, gathered).groupBy("did", "sub").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
-    return base.join(marks, ["did", "sub"], "left").select("doc_id", "text", "spans").mapInArrow(
+    texts = base.mapInArrow(_packed, "doc_id long, did long, sub long, packed binary")
+    return texts.join(marks, ["did", "sub"], "left").select("doc_id", "packed", "spans").mapInArrow(
         _cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string")

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import zstandard
 
 from hillstream.llm import substring_dedup
 from tests.llm import edge
@@ -35,7 +36,7 @@ def result(frame, **kw):
 
 def numbers(text, width):
     key, bases = substring_dedup.secret()
-    words = [w for some in substring_dedup.blocks(text) for w in some]
+    words = [w for some in substring_dedup.blocks(text.encode()) for w in some]
     return words, substring_dedup.hashes(substring_dedup.Words(key).digests(words), bases, width)
 
 
@@ -82,8 +83,8 @@ def test_a_window_of_every_document_is_one_row_for_each_table():
 def test_blocks(monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK", 7)
     text = " aa bbb\tcccc ddddddddddddddddd e\n f  "
-    some = list(substring_dedup.blocks(text))
-    assert len(some) == 3 and [w for x in some for w in x] == text.encode().split() and list(substring_dedup.blocks(None)) == [[]]
+    some = list(substring_dedup.blocks(text.encode()))
+    assert len(some) == 3 and [w for x in some for w in x] == text.encode().split() and list(substring_dedup.blocks(b"")) == [[]]
 
 
 def test_words_are_forgotten_and_hash_alike(monkeypatch):
@@ -133,7 +134,7 @@ def test_texts_of_several_blocks(spark, monkeypatch):
     n = [len(w.split()) for w in words]
     assert {d for d, _, _ in found} == {1, 2, 3} and max(s for d, s, _ in found if d == 2) == n[1] - 20
     spans = [[{"start": 5, "mask": 3}, {"start": 1000, "mask": 1}], None, [{"start": 0, "mask": 1}]]
-    out = [r for b in cut(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans)], names=["doc_id", "text", "spans"])])) for r in b.to_pylist()]
+    out = [r for b in cut(iter([pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(w.encode()) for w in words]), pa.array(spans)], names=["doc_id", "packed", "spans"])])) for r in b.to_pylist()]
     for r, w, gone in zip(out, words, ([(5, 26), (1000, 1020)], [], [(0, 20)]), strict=True):
         kept = [x for i, x in enumerate(w.split()) if not any(a <= i < b for a, b in gone)]
         assert r["kept_text"] == " ".join(kept) and [(s["start"], s["end"]) for s in r["removed"]] == gone
