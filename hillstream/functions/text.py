@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,46 +122,55 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def _pairwise(f: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+    """A measure of two texts; a null text marks a pair that the JVM has settled, which is passed over."""
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([f(x, y) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return lambda a, b: F.pandas_udf(run, DoubleType())(a, b)
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
+def ratio(x: str, y: str) -> float:
     """Ratcliff-Obershelp ratio; the order of the arguments matters."""
-    return _pairwise(lambda x, y: difflib.SequenceMatcher(None, x, y).ratio())(a, b)
+    return difflib.SequenceMatcher(None, x, y).ratio()
 
 
 def common_part(x: str, y: str) -> float:
     """2 * length of the longest common substring / sum of lengths."""
-    best, row = 0, [0] * (len(y) + 1)
-    for c in x:
-        above = 0
-        for j, d in enumerate(y, 1):
-            above, row[j] = row[j], above + 1 if c == d else 0
-            best = max(best, row[j])
-    return 2.0 * best / (len(x) + len(y)) if x and y else 0.0
+    return 2.0 * difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size / (len(x) + len(y)) if x and y else 0.0
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    return _pairwise(ratio)(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 def longest_common_part(a: Column, b: Column) -> Column:
     return _pairwise(common_part)(a, b)
 
 
-def feed_similarity(a: Column, b: Column) -> Column:
+@lru_cache(1 << 16)
+def _grams(x: str, n: int) -> frozenset:
+    return frozenset(x[i : i + n] for i in range(len(x) - n + 1))
+
+
+def feed_score(x: str, y: str) -> float:
     """Similarity of two normalised names in a feed: a blend of six measures."""
-    blend = (0.17 * sequence_ratio(a, b) + 0.10 * containment(a, b) + 0.22 * dice(a, b, 2) + 0.24 * dice(a, b, 3)
-             + 0.12 * longest_common_part(a, b) + 0.15 * length_ratio(a, b))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(F.least(F.lit(1.0), blend))
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    short, long = sorted((len(x), len(y)))
+    two, three = (2 * len(_grams(x, n) & _grams(y, n)) / (len(_grams(x, n)) + len(_grams(y, n))) if short >= n else 0.0 for n in (2, 3))
+    held = short / long if x in y or y in x else 0.0
+    return min(1.0, 0.17 * ratio(x, y) + 0.10 * held + 0.22 * two + 0.24 * three + 0.12 * common_part(x, y) + 0.15 * (short / long))
 
 
-def set_similarity(a: Column, b: Column) -> Column:
-    """The native part of the blend, rescaled to 1: containment, two Dice measures and the length ratio."""
-    blend = (0.10 * containment(a, b) + 0.22 * dice(a, b, 2) + 0.24 * dice(a, b, 3) + 0.15 * length_ratio(a, b)) / 0.71
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(F.least(F.lit(1.0), blend))
+def feed_similarity(a: Column, b: Column) -> Column:
+    """``feed_score`` of two columns; empty and equal names are settled without Python."""
+    settled = (F.length(a) == 0) | (F.length(b) == 0) | (a == b)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(_pairwise(feed_score)(F.when(~settled, a), b))
 
 
 def roster_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two roster names: the length ratio if one holds the other, else the sequence ratio."""
-    return (F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0)
-            .when(F.contains(a, b) | F.contains(b, a), length_ratio(a, b)).otherwise(sequence_ratio(a, b)))
+    """Similarity of two roster names: the length ratio if one holds the other, else the sequence ratio, the only part for Python."""
+    holds = F.contains(a, b) | F.contains(b, a)
+    return (F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(holds, length_ratio(a, b)).otherwise(_pairwise(ratio)(F.when(~holds, a), b)))

@@ -13,23 +13,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hillstream.functions.geometry import alike, overlap
-from hillstream.functions.text import roster_similarity
+from hillstream.functions.text import feed_score, roster_similarity
 
 
-def best_player(texts: DataFrame, players: DataFrame, keys: list[str], row: list[str], text: str, name: str, similarity: Callable[[Column, Column], Column],
-                allowed: Column | None = None) -> DataFrame:
-    """For each text the player of its roster with the highest similarity; the smallest player_id on ties, none at 0.
+def best_player(texts: DataFrame, players: DataFrame, keys: list[str], row: list[str], text: str, name: str, pool: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each normalised text the player of its roster with the highest ``feed_score``; the smallest player_id on ties, none at 0.
 
     ``keys`` tie a text to its roster (a match) and are needed: without them every text would meet every player.
+    A roster is one array beside its texts, so no pairs are made; texts are dealt evenly, since comparing takes the time.
+    ``pool`` says of a player (a struct with the columns of ``players``) whether the text may be theirs.
     """
     if not keys:
         raise ValueError("a roster is joined by the keys of its match")
-    pairs = texts.join(players, keys)
-    if allowed is not None:
-        pairs = pairs.filter(allowed)
-    scored = pairs.withColumn("score", similarity(F.col(text), F.col(name))).filter("score > 0")
-    best = scored.groupBy(*keys, *row).agg(F.min(F.struct((-F.col("score")).alias("_s"), "player_id", F.col(name).alias("_n"), "score")).alias("_b"))
-    return best.select(*keys, *row, F.col("_b.player_id").alias("player_id"), F.col("_b._n").alias(name), F.col("_b.score").alias("score"))
+    others = [c for c in players.columns if c not in (*keys, "player_id")]
+    roster = players.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("player_id", *others))).alias("_roster"))
+    near = texts.select(*keys, *row, F.col(text).alias("_text"), *(c for c in texts.columns if c not in (*keys, *row))).join(roster, keys)
+    if pool is not None:
+        near = near.withColumn("_roster", F.filter("_roster", pool))
+
+    def pick(some: pd.Series, ids: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, i, n in zip(some, ids, names, strict=True):
+            best = (None, None, 0.0)
+            for who, known in zip(i, n, strict=True):
+                if (score := feed_score(t or "", known or "")) > best[2]:
+                    best = (who, known, score)
+            out.append(best)
+        return pd.DataFrame(out, columns=["player_id", "name", "score"])
+
+    found = F.pandas_udf(pick, "player_id long, name string, score double")(F.col("_text"), F.transform("_roster", lambda p: p["player_id"]), F.transform("_roster", lambda p: p[name]))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = near.repartition(parts).select(*keys, *row, found.alias("_b")).filter("_b.score > 0")
+    return best.select(*keys, *row, F.col("_b.player_id").alias("player_id"), F.col("_b.name").alias(name), F.col("_b.score").alias("score"))
 
 
 def variant_pool(variant: Column, team: Column) -> Column:

@@ -10,6 +10,7 @@ import difflib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hillstream.operators.folds import keyed_fold
@@ -87,6 +88,31 @@ def event_threads(rows: DataFrame, keys: list[str], order: list[str], **settings
     return keyed_fold(rows, keys, order, dict, step, OUTCOME)
 
 
+#: How a row of names can fare, and the counter it adds to.
+BLOCKED = {"same_side": "events_blocked_same_side", "low_confidence": "events_blocked_low_confidence", "victim_cooldown": "events_blocked_victim_cooldown"}
+
+
+def kill_counters(names: DataFrame, rows: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """The counters of a feed, one row per key.
+
+    names: the names that were grouped to rows, one each; rows: as row_sides gives; events: as event_threads gives.
+    Trades are not told apart from kills and stay 0.
+    """
+    both = F.col("left_player").isNotNull().cast("long") + F.col("right_player").isNotNull().cast("long")
+    a = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("name_detections"))
+    b = rows.groupBy(*keys).agg(F.sum(both).alias("resolved_name_detections"), F.count(F.lit(1)).alias("row_groups_detected"), F.count_if(both < 2).alias("single_side_row_groups"))
+    c = events.groupBy(*keys).agg(
+        F.count_if("counted").alias("kills"), F.count_if("counted").alias("deaths"), F.lit(0).cast("long").alias("trades"), F.count_if("created").alias("event_threads_created"),
+        F.count_if(~F.col("created")).alias("event_threads_reused"), F.count_if("counted").alias("events_counted"), *(F.count_if(F.col("blocked") == k).alias(n) for k, n in BLOCKED.items()))
+    return a.join(b, keys, "full").join(c, keys, "full").na.fill(0)
+
+
+def player_detections(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each player was resolved on a side of a row."""
+    return (rows.select(*keys, F.explode(F.array("left_player", "right_player")).alias("player_id")).dropna(subset=["player_id"])
+            .groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("detections")))
+
+
 def roster_ratio(a: str, b: str) -> float:
     if not a or not b:
         return 0.0

@@ -335,30 +335,11 @@ def score_over_time(spark, d):
     return _scored(spark, d)[0].select("match_id", "timestamp", "blue_score", "red_score")
 
 
-KILLS_SO_FAR = """, b AS (SELECT match_id, killer, CAST(floor((greatest(1, t - min(t) OVER (PARTITION BY match_id) + 1) - 1) / {BUCKET}) + 1 AS BIGINT) AS bucket FROM obs),
-n AS (SELECT match_id, bucket, p AS player_id, (SELECT count(*) FROM b k WHERE k.match_id = x.match_id AND k.killer = p AND k.bucket <= x.bucket) AS n FROM (SELECT DISTINCT match_id, bucket FROM b) x, range(1, 9) r(p))"""
-
-
-@query("{obs}" + KILLS_SO_FAR + " SELECT match_id, bucket, " + ", ".join(f'CAST(max(n) FILTER (WHERE player_id = {p}) AS BIGINT) AS "{("Player", f"Player_{p}")[p > 1]}"' for p in range(1, 9)) + " FROM n GROUP BY 1, 2")
-def kills_over_time(spark, d):
-    o = series.bucket_number(observations(spark, d), KEY, "t", BUCKET)
-    per = o.groupBy("match_id", "bucket").pivot("killer", list(range(1, 9))).agg(F.count(F.lit(1)))
-    w = Window.partitionBy("match_id").orderBy("bucket")
-    headers = text.header_names(["Player"] * 8)
-    return per.select("match_id", "bucket", *(F.sum(F.coalesce(F.col(str(p)), F.lit(0))).over(w).cast("long").alias(h) for p, h in zip(range(1, 9), headers, strict=True)))
-
-
 @query("{obs}, " + KD + """, r AS (SELECT match_id, team, row_number() OVER (PARTITION BY match_id, team ORDER BY kills DESC, lower(name), player_id) AS place, printf('- %s: %d kills, %d deaths', name, kills, deaths) AS line FROM kd) SELECT * FROM r""")
 def report_lines(spark, d):
     return sinks.report_lines(_stats(spark, d), KEY)
 
 
-@query()
-def summary_documents(spark, d):
-    finals = roster(spark).select("match_id").distinct().select("match_id", F.lit(250).alias("json_blue"), F.lit(None).cast("int").alias("json_red"))
-    return sinks.summary_json(_stats(spark, d), finals, _totals(spark, d), KEY)
-
-
 @query("""{obs} SELECT match_id, arg_max(score, (t, event_id)) FILTER (WHERE score IS NOT NULL) AS score, arg_max(event_id, (t, event_id)) AS event_id, max(t) AS t FROM obs GROUP BY 1""")
 def latest_reading(spark, d):
     o = observations(spark, d).withColumn("score", series.carried(F.col("score"), KEY, ORDER))
@@ -377,12 +358,6 @@ def name_clean(spark, d):
                     text.display_name(raw).alias("display"), text.digits_only(raw).alias("digits"))
 
 
-@query("SELECT p_partkey, p_brand || CASE WHEN row_number() OVER w > 1 THEN '_' || row_number() OVER w ELSE '' END AS header FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
-def header_suffixes(spark, d):
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise("")).alias("header"))
-
-
 GRAMS = "list_distinct([substring({x}, CAST(i AS BIGINT), {n}) for i in range(1, length({x}) - {n} + 2)])"
 
 
@@ -401,30 +376,6 @@ def ngram_dice(spark, d):
     return p.select("p_partkey", r(text.dice(F.col("a"), F.col("b"), 2)).alias("dice2"), r(text.dice(F.col("a"), F.col("b"), 3)).alias("dice3"), r(text.length_ratio(F.col("a"), F.col("b"))).alias("length_ratio"))
 
 
-@query(f"""WITH p AS (SELECT p_brand, p_size, p_partkey, regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g') AS name FROM part),
-t AS (SELECT *, substring(name, 1, CAST(p_partkey % 7 AS BIGINT) + 2) || substring(name, CAST(p_partkey % 7 AS BIGINT) + 4) AS seen FROM p),
-s AS (SELECT t.p_partkey AS text_id, q.p_partkey AS player_id, CASE WHEN length(seen) = 0 OR length(q.name) = 0 THEN 0.0 WHEN seen = q.name THEN 1.0 ELSE least(1.0,
-  (0.10 * CASE WHEN contains(seen, q.name) OR contains(q.name, seen) THEN CAST(least(length(seen), length(q.name)) AS DOUBLE) / greatest(length(seen), length(q.name)) ELSE 0.0 END
-   + 0.22 * {_dice_sql('seen', 'q.name', 2)} + 0.24 * {_dice_sql('seen', 'q.name', 3)} + 0.15 * (CAST(least(length(seen), length(q.name)) AS DOUBLE) / greatest(length(seen), length(q.name), 1))) / 0.71) END AS score
-  FROM t JOIN p q USING (p_brand, p_size))
-SELECT text_id, player_id, round(round(CAST(score AS DOUBLE), 9), 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, player_id) = 1""")
-def fuzzy_top1(spark, d):
-    p = table(spark, d, "part").select("p_brand", "p_size", "p_partkey", text.ascii_key(F.concat("p_name", "p_type")).alias("name"))
-    cut = (F.col("p_partkey") % 7).cast("int")
-    seen = p.select("p_brand", "p_size", F.col("p_partkey").alias("text_id"), F.concat(F.substring("name", F.lit(1), cut + 2), F.substring(F.col("name"), cut + 4, F.length("name"))).alias("seen"))
-    players = p.select("p_brand", "p_size", F.col("p_partkey").alias("player_id"), "name")
-    best = resolve.best_player(seen, players, ["p_brand", "p_size"], ["text_id"], "seen", "name", lambda a, b: F.round(text.set_similarity(a, b), 9))
-    return best.select("text_id", "player_id", F.round("score", 6).alias("score"))
-
-
-@query()
-def seq_similarity(spark, d):
-    a = text.ascii_key(F.col("p_name"))
-    p = table(spark, d, "part").select("p_partkey", a.alias("a"), F.lead(a).over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("b")).filter("b is not null")
-    return p.select("p_partkey", text.feed_similarity(F.col("a"), F.col("b")).alias("feed"), text.roster_similarity(F.col("a"), F.col("b")).alias("roster"),
-                    scores.name_confidence(F.lit(0.8), text.roster_similarity(F.col("a"), F.col("b"))).alias("confidence"))
-
-
 BOXES = """bx AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 90 AS INTEGER) AS ax, CAST(l_suppkey % 40 AS INTEGER) AS ay, CAST(l_quantity AS INTEGER) AS aw, 20 AS ah, CAST(l_orderkey % 90 AS INTEGER) AS bx, CAST(l_partkey % 40 AS INTEGER) AS by_, CAST(l_quantity AS INTEGER) // 2 AS bw, 25 AS bh FROM lineitem),
 ov AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)) AS i FROM bx)"""
 
@@ -458,21 +409,6 @@ def _boxes(spark, d):
 FRAME = ["match_id", "frame"]
 
 
-@query()
-def box_dedupe(spark, d):
-    return resolve.deduped_boxes(_boxes(spark, d), FRAME)
-
-
-@query()
-def row_groups(spark, d):
-    return resolve.grouped_rows(_boxes(spark, d), FRAME)
-
-
-@query()
-def anchored_merge(spark, d):
-    return resolve.merged_variants(_boxes(spark, d), FRAME)
-
-
 BX = """b0 AS (SELECT match_id, t // 14400 AS frame, event_id AS id, k % 4 AS variant, player_id, k / 100 AS confidence, k * 7 % 300 AS x, k * 13 % 90 AS y, k % 20 + 40 AS w, 18 AS h FROM obs)"""
 
 
@@ -485,24 +421,6 @@ def spatial_best_match(spark, d):
     return out.select("match_id", "frame", "anchor_id", "other_id", F.round("iou", 6).alias("iou"), "confidence")
 
 
-@query()
-def event_threads(spark, d):
-    rows = resolve.row_sides(resolve.grouped_rows(resolve.merged_variants(_boxes(spark, d), FRAME), FRAME), FRAME)
-    return threads.event_threads(rows.withColumn("t", F.col("frame") * 0.3), KEY, ["t", "row_index"])
-
-
-@query()
-def roster_clusters(spark, d):
-    o = observations(spark, d).select("match_id", "t", "event_id", F.concat(F.lit("player"), F.col("player_id").cast("string"), F.when(F.col("k") % 3 == 0, "x").otherwise("")).alias("name"))
-    return threads.roster_clusters(o, KEY, ORDER)
-
-
-@query()
-def name_dedupe(spark, d):
-    o = observations(spark, d).select("match_id", F.floor(F.col("t") / 14400).alias("frame"), "event_id", F.concat(F.lit("player"), (F.col("k") % 12).cast("string")).alias("name"), (-F.col("k")).alias("rank"))
-    return threads.deduped_names(o, FRAME, ["rank", "event_id"])
-
-
 def _names(spark, d):
     o = observations(spark, d)
     return o.select("match_id", F.when(F.col("player_id") <= 4, "friendly").otherwise("enemy").alias("team"), (F.col("player_id") % 4).alias("slot_index"),
@@ -536,7 +454,7 @@ def roster_top4(spark, d):
 
 
 @query("{obs}, " + CLUST + """, ok AS (SELECT match_id, team FROM cl WHERE observations >= 2 AND confidence >= 0.6 GROUP BY ALL HAVING count(*) >= 4)
-SELECT o.match_id, o.event_id FROM obs o WHERE o.match_id IN (SELECT match_id FROM ok GROUP BY 1 HAVING count(*) = 2) AND o.match_id % 2 = 0""")
+SELECT o.match_id, o.event_id FROM obs o WHERE o.match_id IN (SELECT match_id FROM ok GROUP BY 1 HAVING count(*) = 2)""")
 def registry_gate(spark, d):
     ready = resolve.ready_teams(_clusters(spark, d), KEY, sure=0.6)
     return observations(spark, d).join(ready, KEY, "left_semi").select("match_id", "event_id")
@@ -643,12 +561,4 @@ def labels_and_stems(spark, d):
     return o.select("o_orderkey", text.alias_lookup(F.col("o_orderpriority"), {"1-urgent": "killfeed", "2-high": "utility"}).alias("section"), F.format_string("%.3f", "o_totalprice").alias("label"), text.path_stem(path).alias("stem"))
 
 
-@query()
-def match_telemetry(spark, d):
-    """Readings to the finished series: throttle, buckets, gaps, cleaning, as-of kills, final row."""
-    o = folds.throttled(observations(spark, d), KEY, "t", ORDER, 1 / 60)
-    filled = series.gap_filled(series.bucketed(o, KEY, "t", ORDER, ["score", "hill"], ["nades", "stuns"], BUCKET), KEY, ["score", "hill", "nades", "stuns"], BUCKET)
-    clean = series.clean_scores(filled, KEY, ["bucket"], "score").withColumn("hill", series.mode_smoothed("hill", KEY, ["bucket"]))
-    s = clean.select("match_id", (F.col("bucket") * 10).alias("timestamp"), F.col("score").alias("blue_score"), F.floor(F.col("score") / 2).cast("long").alias("red_score"), "hill", "nades", "stuns")
-    finals = s.groupBy("match_id").agg(F.lit(250).cast("long").alias("final_blue"), F.max("red_score").alias("final_red"))
-    return correct.forced_final_row(s, finals, KEY)
+from hillstream.plans import match_queries  # noqa: E402, F401  adds its queries to the same tables

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hillstream.functions.text import header_names
+from hillstream.functions.text import header_names, path_stem
 
 
 def telemetry_table(series: DataFrame, kills: DataFrame, keys: list[str], players: list[tuple[int, str]]) -> DataFrame:
@@ -48,3 +48,35 @@ def newest_runs(runs: DataFrame, keys: list[str], mtime: str, keep: int) -> Data
 
     w = Window.partitionBy(*keys).orderBy(F.desc(mtime), F.desc("run"))
     return runs.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= keep)
+
+
+def run_id(path: Column, began: Column) -> Column:
+    """The folder of a run: the recording's name and when the run began. A new recording begins a new run."""
+    return F.concat(path_stem(path), F.lit("_"), F.date_format(began, "yyyyMMdd_HHmmss"))
+
+
+def numbered(df: DataFrame, keys: list[str], lines: Column) -> DataFrame:
+    """One row for each of a row's lines, numbered from 1."""
+    return df.select(*keys, F.posexplode(lines).alias("n", "line")).select(*keys, (F.col("n") + 1).cast("long").alias("line_number"), "line")
+
+
+def report(stats: DataFrame, facts: DataFrame, keys: list[str], head: list[Column], scores: dict[str, Column], modules: dict[str, str]) -> DataFrame:
+    """The text report of each match, one row a line; lists of players, few by their ids, by falling count and lower-case name.
+
+    facts: keys, nades, stuns, specialties and the columns of ``head`` and ``scores``. A list without entries says so, and so does a score without a value.
+    """
+    people = stats.groupBy(*keys).agg(F.collect_list(F.struct("player_id", "name", "kills", "deaths")).alias("_people"))
+
+    def ranked(c: str) -> Column:
+        some = F.array_sort(F.transform("_people", lambda p: F.struct((-p[c]).alias("n"), F.lower(p["name"]).alias("k"), p["player_id"], p["name"].alias("name"))))
+        return F.transform(some, lambda p: F.concat(F.lit("- "), p["name"], F.lit(": "), (-p["n"]).cast("string")))
+
+    names = F.transform(F.array_sort(F.transform("_people", lambda p: F.struct(p["player_id"], p["name"].alias("name")))), lambda p: F.concat(F.lit("- "), p["name"]))
+    listed = lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit("- none")))
+    said = lambda k, v: F.concat(F.lit(k + ": "), F.coalesce(v.cast("string"), F.lit("None")))
+    block = lambda *some: F.array(*(F.lit(x) if isinstance(x, str) else x for x in some))
+    lines = F.concat(block(*head, "", "Registered Players:"), listed(names), block("", "Player Kills:"), listed(ranked("kills")), block("", "Player Deaths:"), listed(ranked("deaths")),
+                     block("", "Utility Counts:", said("Grenade", F.col("nades")), said("Stun", F.col("stuns")), said("Specialty equipment", F.col("specialties"))),
+                     block("", "Hardpoint:", *(said(k, v) for k, v in scores.items())), block("", "Module Status:", *(f"- {k}: {v}" for k, v in modules.items())))
+    some = facts.join(people, keys, "left").withColumn("_people", F.coalesce("_people", F.array().cast("array<struct<player_id:bigint,name:string,kills:bigint,deaths:bigint>>")))
+    return numbered(some, keys, lines)

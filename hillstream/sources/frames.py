@@ -1,7 +1,7 @@
 """Frames of recordings, sampled by index.
 
-The decoder takes the bytes of a recording and yields (frame index, image bytes). It comes from the caller, as a function or
-as "module:function", since decoding needs libraries that are not part of this package.
+The decoder takes the path of a recording, or its bytes, and yields (frame index, image bytes). It comes from the caller, as a
+function or as "module:function", since decoding needs libraries that are not part of this package.
 """
 
 from __future__ import annotations
@@ -26,18 +26,19 @@ def named(decoder: str) -> Callable[[bytes], Iterable[tuple[int, bytes]]]:
     return getattr(importlib.import_module(module), name)
 
 
-def recorded_frames(spark: SparkSession, path: str, decoder: Callable[[bytes], Iterable[tuple[int, bytes]]] | str, fps: float, per_second: float = 30.0,
-                    start: float = 0.0, pattern: str = "*") -> DataFrame:
+def recorded_frames(spark: SparkSession, path: str, decoder: Callable[[bytes | str], Iterable[tuple[int, bytes]]] | str, fps: float, per_second: float = 30.0,
+                    start: float = 0.0, pattern: str = "*", by_path: bool = False) -> DataFrame:
     """Rows match_id, frame_index, timestamp_seconds, source_path, image of every recording under ``path``.
 
     One recording is one task's work and is decoded from its start, frame by frame; a missing path is an error.
+    ``by_path`` hands the decoder the path, which it reads as it goes; its bytes, which have to fit in one cell, otherwise.
     """
     decode = named(decoder) if isinstance(decoder, str) else decoder
     rate = fps if fps > 0 else 29.97
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for source, content in zip(b["path"], b["content"], strict=True):
+            for source, content in zip(b["path"], b["path" if by_path else "content"], strict=True):
                 stem = source.rsplit("/", 1)[-1].rsplit(".", 1)[0].replace(" ", "_")
                 rows = []
                 for i, image in decode(content):
@@ -49,4 +50,8 @@ def recorded_frames(spark: SparkSession, path: str, decoder: Callable[[bytes], I
                 yield pd.DataFrame(rows, columns=["match_id", "frame_index", "timestamp_seconds", "source_path", "image"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    if by_path:
+        # a row of a listing costs nothing, so recordings are dealt one by one
+        files = files.select("path").repartition(max(1, files.select("path").count()), "path")
+        return files.mapInPandas(run, FRAMES)
     return files.select("path", "content").mapInPandas(run, FRAMES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
             .select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label"), "path", "content"))
 
 
+def templates(spark: SparkSession, path: str, decode: Callable[[bytes], object | None], most: int = 10_000) -> dict[str, list]:
+    """Pictures by the name of their folder, in the order of their paths, for a worker's recogniser. Those that ``decode`` makes None of are left out.
+
+    They are assets and few; more than ``most`` files are an error.
+    """
+    files = image_files(spark, path)
+    if files.select("path").limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} pictures under {path}")
+    out: dict[str, list] = {}
+    for r in files.orderBy("path").collect():
+        if (picture := decode(bytes(r.content))) is not None:
+            out.setdefault(r.label, []).append(picture)
+    return out
+
+
 def frame_at(frames: DataFrame, keys: list[str], t: str, seconds: float) -> DataFrame:
     """The first frame at or after a time, for each key."""
     return frames.filter(F.col(t) >= seconds).groupBy(*keys).agg(F.min_by(F.struct("*"), t).alias("_f")).select("_f.*")
