@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +68,12 @@ def bucketed(df: DataFrame, keys: list[str], t: str, order: list[str], modes: li
 
 def gap_filled(df: DataFrame, keys: list[str], columns: list[str], seconds: int = 10) -> DataFrame:
     """Every bucket from 1 to the last; one without rows repeats the row before it, nulls and all. Adds timestamp."""
-    spans = df.groupBy(*keys).agg(F.max("bucket").alias("_n")).select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("bucket"))
-    full = spans.join(df.withColumn("_row", F.struct(*columns)).select(*keys, "bucket", "_row"), [*keys, "bucket"], "left")
-    full = full.withColumn("_row", carried(F.col("_row"), keys, ["bucket"]))
-    return full.select(*keys, "bucket", (F.col("bucket") * seconds).alias("timestamp"), *(F.col("_row")[c].alias(c) for c in columns))
+    w = Window.partitionBy(*keys).orderBy("bucket")
+    # a row stands for the buckets up to the next row's, the first one also, without values, for those before it
+    begin = F.when(F.lag("bucket").over(w).isNull(), F.lit(1).cast("long")).otherwise(F.col("bucket"))
+    end = F.coalesce(F.lead("bucket").over(w) - 1, F.col("bucket"))
+    each = df.select(*keys, *columns, F.col("bucket").alias("_own"), begin.alias("_begin"), end.alias("_end")).withColumn("bucket", F.explode(F.sequence("_begin", "_end")))
+    return each.select(*keys, "bucket", (F.col("bucket") * seconds).alias("timestamp"), *(F.when(F.col("bucket") >= F.col("_own"), F.col(c)).alias(c) for c in columns))
 
 
 def _runs(df: DataFrame, keys: list[str], order: list[str], c: str) -> DataFrame:
@@ -79,31 +83,33 @@ def _runs(df: DataFrame, keys: list[str], order: list[str], c: str) -> DataFrame
     return df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(upto(keys, order))).drop("_new")
 
 
-def _by_run(df: DataFrame, keys: list[str], order: list[str], c: str, replacement) -> DataFrame:
-    r = _runs(df, keys, order, c)
+def _by_run(df: DataFrame, keys: list[str], order: list[str], c: str, replacement: Callable[[Callable[[int], Column], Callable[[int], Column]], Column]) -> DataFrame:
+    """Each run's value replaced; ``replacement`` gets the values and lengths of the run (0) and of those after it (1, ...), null and 0 past the end.
+
+    Runs are ranges of their number in a window, so no run is joined to its rows.
+    """
     w = Window.partitionBy(*keys).orderBy("_run")
-    runs = r.groupBy(*keys, "_run").agg(F.first(c).alias("_v"), F.count(F.lit(1)).alias("_len"))
-    runs = runs.withColumn("_to", replacement(w)).select(*keys, "_run", "_to")
-    return r.join(runs, [*keys, "_run"]).withColumn(c, F.col("_to")).drop("_run", "_to")
+    value = lambda k: F.first(c).over(w.rangeBetween(k, k))
+    length = lambda k: F.count(F.lit(1)).over(w.rangeBetween(k, k))
+    return _runs(df, keys, order, c).withColumn("_to", replacement(value, length)).withColumn(c, F.col("_to")).drop("_run", "_to")
 
 
 def short_runs_replaced(df: DataFrame, keys: list[str], order: list[str], c: str, short: int = 4, support: int = 6, near: int = 20) -> DataFrame:
     """A run of up to ``short`` rows takes the next run's value if that has ``support`` rows or more and differs by up to ``near``."""
-    def to(w):
-        nv, nl = F.lead("_v").over(w), F.lead("_len").over(w)
-        return F.when((F.col("_len") <= short) & (nl >= support) & (F.abs(nv - F.col("_v")) <= near), nv).otherwise(F.col("_v"))
+    def to(value, length):
+        return F.when((length(0) <= short) & (length(1) >= support) & (F.abs(value(1) - F.col(c)) <= near), value(1)).otherwise(F.col(c))
 
     return _by_run(df, keys, order, c, to)
 
 
 def high_runs_lowered(df: DataFrame, keys: list[str], order: list[str], c: str, ahead: int = 3, step: int = 6, drop: int = 25) -> DataFrame:
     """A run falls to the next run's value if that is lower by up to ``drop`` and it and the runs after it, ``ahead`` in all, rise by up to ``step`` each."""
-    def to(w):
-        n = [F.lead("_v", k).over(w) for k in range(1, ahead + 1)]
+    def to(value, length):
+        n = [value(k) for k in range(1, ahead + 1)]
         rising = F.lit(True)
         for a, b in zip(n, n[1:], strict=False):
             rising = rising & (b - a).between(0, step)
-        return F.when((F.col("_v") - n[0] > 0) & (F.col("_v") - n[0] <= drop) & rising, n[0]).otherwise(F.col("_v"))
+        return F.when((F.col(c) - n[0] > 0) & (F.col(c) - n[0] <= drop) & rising, n[0]).otherwise(F.col(c))
 
     return _by_run(df, keys, order, c, to)
 
