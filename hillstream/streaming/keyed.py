@@ -28,7 +28,7 @@ def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], start: Ca
     deliver in order and have few keys.
     """
     schema = T.StructType(stream.schema.fields + added)
-    names = [f.name for f in schema.fields]
+    names, columns = [f.name for f in schema.fields], list(stream.columns)
 
     def taken(s: object, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -46,7 +46,7 @@ def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], start: Ca
     def in_order(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s, held = pickle.loads(state.get[0]) if state.exists else (start(), None)
         idle = state.hasTimedOut and (held is None or not len(held))
-        rows = pd.concat([x for x in (held, *(() if state.hasTimedOut else frames)) if x is not None and len(x)] or [pd.DataFrame(columns=[*stream.columns, "_ms"])], ignore_index=True)
+        rows = pd.concat([x for x in (held, *(() if state.hasTimedOut else frames)) if x is not None and len(x)] or [pd.DataFrame(columns=[*columns, "_ms"])], ignore_index=True)
         mark = state.getCurrentWatermarkMs()
         due = rows["_ms"] <= mark
         out = taken(s, rows[due].drop(columns="_ms").sort_values(order, kind="stable"))

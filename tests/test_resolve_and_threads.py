@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from hillstream.functions import image
 from hillstream.operators import resolve, threads
@@ -70,26 +71,25 @@ def test_roster_clusters(spark):
 
 
 def test_best_player_of_a_roster(spark):
-    from hillstream.functions.text import set_similarity
-
-    texts = spark.createDataFrame([(0, "ab"), (1, "ab"), (2, "ab")], "m int, t string")
-    players = spark.createDataFrame([(0, 1, "ab"), (0, 2, "ab"), (0, 3, "zz"), (1, 4, "zz")], "m int, player_id int, name string")
-    got = resolve.best_player(texts, players, ["m"], ["t"], "t", "name", set_similarity).collect()
-    assert sorted((r.m, r.player_id, r.score) for r in got) == [(0, 1, 1.0), (1, 4, pytest.approx(0.15 / 0.71))]  # equal lengths count
+    from hillstream.functions.text import feed_score
+
+    texts = spark.createDataFrame([(0, "abc", "red"), (1, "abc", "red"), (2, "abc", "red"), (0, "xq", "blue"), (3, "", "red"), (3, None, "red")], "m int, t string, v string")
+    players = spark.createDataFrame([(0, 1, "abc", "friendly"), (0, 2, "abc", "enemy"), (0, 3, "zzzz", "enemy"), (1, 4, "abcd", "enemy"), (1, 5, "abd", "enemy"), (3, 6, "abc", "enemy")], "m int, player_id int, name string, team string")
+    got = resolve.best_player(texts, players, ["m"], ["t"], "t", "name").collect()
+    want = {(0, "abc"): (1, 1.0), (1, "abc"): (4, feed_score("abc", "abcd")), (0, "xq"): (1, feed_score("xq", "abc"))}
+    assert {(r.m, r.t): (r.player_id, r.score) for r in got} == {k: (p, pytest.approx(s)) for k, (p, s) in want.items()}
+    got = resolve.best_player(texts, players, ["m"], ["t"], "t", "name", lambda p: resolve.variant_pool(F.col("v"), p["team"])).collect()
+    assert {(r.m, r.t): r.player_id for r in got} == {(0, "abc"): 2, (1, "abc"): 4, (0, "xq"): 1}
     with pytest.raises(ValueError):
-        resolve.best_player(texts, players, [], ["t"], "t", "name", set_similarity)
+        resolve.best_player(texts, players, [], ["t"], "t", "name")
 
 
 def test_variant_pools(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([("red", "enemy"), ("red", "friendly"), ("blue", "friendly"), ("blue", "enemy"), ("yellow", "enemy")], "v string, t string")
     assert [r[0] for r in rows.select(resolve.variant_pool(F.col("v"), F.col("t"))).collect()] == [True, False, True, False, True]
 
 
 def test_cluster_confidence(spark):
-    from pyspark.sql import functions as F
-
     assert spark.range(1).select(resolve.cluster_confidence(F.lit(2.1), F.lit(3))).first()[0] == pytest.approx(0.80)
 
 

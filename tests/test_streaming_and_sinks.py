@@ -1,6 +1,8 @@
 import json
 import uuid
 
+import pytest
+
 from hillstream.operators import folds, states, threads
 from hillstream.plans import queries, sinks
 from hillstream.sources import tables
@@ -36,6 +38,30 @@ def test_threads(spark, tmp_path):
     assert rows(stream(spark, tmp_path, df, lambda s: keyed.event_threads_stream(s, ["m"], ["t"]))) == rows(threads.event_threads(df, ["m"], ["t"]))
 
 
+def test_late_rows_are_waited_for_and_taken_in_order(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    src, name = tmp_path / "in", "t" + uuid.uuid4().hex
+    schema = "m int, t double, v long, ts timestamp"
+    # arrival: 1 and 3 before 2; the next file moves the watermark on; then one too late, and one that ends it
+    files = [[(0, 1.0, 1), (0, 3.0, 0)], [(0, 2.0, 1), (1, 1.0, 1)], [(0, 60.0, 0), (1, 61.0, 1)], [(0, 4.0, 1), (0, 62.0, 0)], [(2, 10000.0, 1)], [(2, 20000.0, 1)]]
+    df = None
+    for i, rows_ in enumerate(files):
+        (spark.createDataFrame([(m, t, v, at(t)) for m, t, v in rows_], schema).coalesce(1).write.mode("append").parquet(str(src)) if i == 0 else None)
+        if i == 0:
+            stream_ = keyed.debounced_stream(spark.readStream.schema(schema).parquet(str(src)), ["m"], "t", "v", event_time="ts", late="10 seconds", keep=60.0)
+            df = stream_.writeStream.format("memory").queryName(name).outputMode("append").start()
+        else:
+            spark.createDataFrame([(m, t, v, at(t)) for m, t, v in rows_], schema).coalesce(1).write.mode("append").parquet(str(src))
+        df.processAllAvailable()
+    df.stop()
+    got = sorted((r.m, r.t, r.accepted, r.uses) for r in spark.table(name).collect())
+    want = [(0, 1.0, None, 0), (0, 2.0, 1, 0), (0, 3.0, 1, 0), (0, 60.0, 0, 0), (0, 62.0, 0, 0), (1, 1.0, None, 0), (1, 61.0, 1, 0), (2, 10000.0, None, 0)]
+    assert got == sorted(want)
+
+
 def test_latest_and_windows(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, "a"), (0, 3, "c"), (0, 2, "b"), (1, 1, "d")], "m int, t int, v string")
     assert rows(stream(spark, tmp_path, df, lambda s: keyed.latest_state(s, ["m"], ["t"], ["t", "v"]), "complete")) == [(0, 3, "c"), (1, 1, "d")]
@@ -69,7 +95,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_documents_and_report(spark):
-    d = queries.summary_documents(spark, "/root/testdata/sf0.001").orderBy("match_id").first().document
+    d = queries.QUERIES["summary_documents"](spark, "/root/testdata/sf0.001").orderBy("match_id").first().document
     doc = json.loads(d)
     assert doc["final_score"] == {"blue": 250} and len(doc["registry"]) == 8 and sum(doc["kills"].values()) == sum(doc["deaths"].values())
     none = sinks.report_lines(spark.createDataFrame([(0, 1, "a", "ally", 2, 1)], "m int, player_id int, name string, team string, kills long, deaths long"), ["m"])
@@ -81,6 +107,10 @@ def test_images_and_frames(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
     assert sorted(r.label for r in tables.image_files(spark, str(tmp_path)).collect()) == ["3", "4"]
+    (tmp_path / "4/d.png").write_bytes(b"unreadable")
+    assert tables.templates(spark, str(tmp_path), lambda raw: raw if raw == b"x" else None) == {"3": [b"x"], "4": [b"x"]}
+    with pytest.raises(ValueError):
+        tables.templates(spark, str(tmp_path), bytes, most=2)
     f = spark.createDataFrame([(0, 1.0, 1), (0, 2.5, 2), (0, 3.0, 3)], "m int, t double, i int")
     assert [r.i for r in tables.frame_at(f, ["m"], "t", 2).collect()] == [2]
     from hillstream.functions.image import read_images
@@ -95,4 +125,6 @@ def test_recorded_frames(spark, tmp_path):
     (tmp_path / "my match.bin").write_bytes(bytes(range(40)))
     got = recorded_frames(spark, str(tmp_path), lambda raw: ((i, bytes([b])) for i, b in enumerate(raw)), 30, 4, 0.5).orderBy("frame_index").collect()
     assert [(r.match_id, r.frame_index, r.timestamp_seconds, bytes(r.image)) for r in got] == [("my_match", i, i / 30, bytes([i])) for i in (16, 24, 32)]
+    by_path = recorded_frames(spark, str(tmp_path), lambda path: ((i, bytes([b])) for i, b in enumerate(open(path.removeprefix("file:").replace("%20", " "), "rb").read())), 30, 4, 0.5, by_path=True).orderBy("frame_index")  # noqa: SIM115
+    assert [(r.frame_index, bytes(r.image)) for r in by_path.collect()] == [(i, bytes([i])) for i in (16, 24, 32)]
     assert kept_frame(0, 0, 100, 0) and not kept_frame(29, 29.97, 1, 1)
