@@ -20,8 +20,10 @@ from hillstream.llm.labels import held_out, labelled_sample
 
 CHUNK, STRIDE, WIDTH, STEP = 256, 192, 8, 4
 EMBED, FILTERS, HIDDEN = 6, 32, 16
-#: Documents of each label that the network may learn from, its passes over them, and chunks per document and pass.
-PER_CLASS, EPOCHS, CHUNKS = 3000, 20, 6
+#: Documents and bytes of each label that the network may learn from, and its passes over them.
+PER_CLASS, MOST_BYTES, EPOCHS = 3000, 6 << 20, 8
+#: Documents and chunks of a training step (one document may have more), and chunks that are worked on at once.
+BATCH, BATCH_CHUNKS, PART = 32, 1024, 512
 
 
 def chunks(raw: bytes) -> np.ndarray:
@@ -89,9 +91,14 @@ def probabilities(p: dict, raws: list[bytes], batch: int = 512) -> list[float]:
     return out
 
 
+def _all_features(p: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    parts = [chunk_features(p, x[k : k + PART]) for k in range(0, len(x), PART)]
+    return tuple(np.concatenate(some) for some in zip(*parts, strict=True))
+
+
 def gradients(p: dict, x: np.ndarray, doc: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
     """Loss and gradients of one batch: chunks x, the document of each (ascending), labels y."""
-    h, top, at = chunk_features(p, x)
+    h, top, at = _all_features(p, x)
     first = np.searchsorted(doc, np.arange(n))
     count = np.bincount(doc, minlength=n).astype(np.float32)
     most = np.maximum.reduceat(h, first)
@@ -108,17 +115,31 @@ def gradients(p: dict, x: np.ndarray, doc: np.ndarray, n: int, y: np.ndarray, we
     g["hid"], g["hid0"] = top.T @ dh, dh.sum(axis=0)
     dt = (dh @ p["hid"].T) * (top > 0)
     g["conv0"] = dt.sum(axis=0)
-    bytes_at = np.take_along_axis(_positions(x), at[:, :, None], axis=1)
-    e = p["embed"][bytes_at].reshape(len(x), FILTERS, WIDTH * EMBED)
-    g["conv"] = np.einsum("nf,nfk->kf", dt, e, optimize=True)
-    de = (dt[:, :, None] * p["conv"].T[None]).reshape(-1, EMBED)
-    flat = bytes_at.reshape(-1)
-    g["embed"] = np.stack([np.bincount(flat, de[:, k], 256) for k in range(EMBED)], axis=1).astype(np.float32)
+    g["conv"], g["embed"] = np.zeros_like(p["conv"]), np.zeros_like(p["embed"])
+    for k in range(0, len(x), PART):
+        part = slice(k, k + PART)
+        bytes_at = np.take_along_axis(_positions(x[part]), at[part][:, :, None], axis=1)
+        e = p["embed"][bytes_at].reshape(len(bytes_at), FILTERS, WIDTH * EMBED)
+        g["conv"] += np.einsum("nf,nfk->kf", dt[part], e, optimize=True)
+        de = (dt[part][:, :, None] * p["conv"].T[None]).reshape(-1, EMBED)
+        flat = bytes_at.reshape(-1)
+        g["embed"] += np.stack([np.bincount(flat, de[:, j], 256) for j in range(EMBED)], axis=1).astype(g["embed"].dtype)
     return loss, g
 
 
-def train(sample: pd.DataFrame, epochs: int = EPOCHS, seed: int = 11, batch: int = 64, rate: float = 4e-3) -> dict:
-    """Adam over random chunks of each document; both labels weigh the same. Without both labels the untrained network says its prior."""
+def batches_of(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Cuts documents in order into batches of up to BATCH documents and, but for a single one, BATCH_CHUNKS chunks."""
+    first, total = 0, 0
+    for k, i in enumerate(order):
+        if k > first and (k - first == BATCH or total + sizes[i] > BATCH_CHUNKS):
+            yield order[first:k]
+            first, total = k, 0
+        total += sizes[i]
+    yield order[first:]
+
+
+def train(sample: pd.DataFrame, epochs: int = EPOCHS, seed: int = 11, rate: float = 4e-3) -> dict:
+    """Adam over all chunks of each document; both labels weigh the same. Without both labels the untrained network says its prior."""
     p = initial(seed)
     y = sample["label"].to_numpy(dtype=np.float32) if len(sample) else np.zeros(0, dtype=np.float32)
     if not 0 < y.sum() < len(y):
@@ -127,19 +148,18 @@ def train(sample: pd.DataFrame, epochs: int = EPOCHS, seed: int = 11, batch: int
         return p
     rng = np.random.default_rng(seed)
     texts = [chunks(t.encode()) for t in sample["text"]]
+    sizes = np.array([len(t) for t in texts])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(w) for k, w in p.items()}
-    step, steps = 0, epochs * -(-len(y) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for k in range(0, len(y), batch):
-            some = order[k : k + batch]
-            picked = [texts[i] if len(texts[i]) <= CHUNKS else texts[i][rng.choice(len(texts[i]), CHUNKS, replace=False)] for i in some]
-            doc = np.repeat(np.arange(len(some)), [len(x) for x in picked])
-            _, g = gradients(p, np.concatenate(picked), doc, len(some), y[some], weight[some] / len(some))
+    step = 0
+    for epoch in range(epochs):
+        parts = list(batches_of(rng.permutation(len(y)), sizes))
+        for k, some in enumerate(parts):
+            doc = np.repeat(np.arange(len(some)), sizes[some])
+            _, g = gradients(p, np.concatenate([texts[i] for i in some]), doc, len(some), y[some], weight[some] / len(some))
             step += 1
-            lr = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
+            lr = rate * min(1.0, step / 20) * (1 - (epoch + k / len(parts)) / epochs)
             for key in p:
                 m[key] = 0.9 * m[key] + 0.1 * g[key]
                 v[key] = 0.999 * v[key] + 0.001 * g[key] ** 2
@@ -148,8 +168,8 @@ def train(sample: pd.DataFrame, epochs: int = EPOCHS, seed: int = 11, batch: int
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-                   per_class: int = PER_CLASS, epochs: int = EPOCHS, threshold: float = 0.5) -> DataFrame:
-    """Train on a bounded sample of labelled rows that are not held out, then score every whole text.
+                   per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, epochs: int = EPOCHS, threshold: float = 0.5) -> DataFrame:
+    """Train on a sample of labelled rows that are not held out, bounded by ``per_class`` documents and ``most_bytes`` bytes of each label, then score every whole text.
 
     Returns one row per input row: doc_id, held_out, score (0 to 1, higher: label 1 is
     likelier) and predicted. Only the text's bytes reach the network. A null text is
@@ -157,7 +177,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     scores; a null doc_id is not held out. Without labels of both kinds the score
     is constant. Other columns are ignored. The weights (a few kB) are broadcast.
     """
-    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col, most_bytes)
     model = docs.sparkSession.sparkContext.broadcast(train(sample, epochs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 3, 1
+#: Bytes of text of each label that are learned from.
+MOST_BYTES = 16 << 20
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -14,20 +16,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """Up to ``per_class`` documents of each label, as text and label, in a fixed order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> pd.DataFrame:
+    """Up to ``per_class`` documents and ``most_bytes`` bytes of text of each label, as text and label, in a fixed order.
 
-    Held-out rows and rows without id, label or text are left out first. The ids are
+    Held-out rows and rows without id, label or text are left out first, and ids labelled both ways. The ids are
     picked by hash among the labels; at most 2 * per_class of them are broadcast to one
-    scan of the documents, so what reaches the driver is bounded by ``per_class``.
+    scan of the documents. An id counts once, with the least of its texts if there are several. Of the picked documents in their
+    order those up to the bytes' bound are taken, so what reaches the driver is bounded by both parameters.
     """
     rows = (labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label")).dropna()
-            .filter(~held_out("_id") & F.col("label").isin(0, 1)).withColumn("turn", F.xxhash64("_id")))
+            .filter(~held_out("_id") & F.col("label").isin(0, 1)).groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).filter("label = _most")
+            .withColumn("turn", F.xxhash64("_id")).drop("_most"))
     picked = None
     for value in (0, 1):
         some = rows.filter(F.col("label") == value).orderBy("turn", "_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     found = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).dropna()
-             .join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("turn", "_id", "text", "label"))
-    table = found.toArrow().to_pandas()
-    return table.sort_values(["turn", "_id", "text", "label"], ignore_index=True)[["text", "label"]]
+             .join(F.broadcast(picked), F.col("_doc") == F.col("_id")).groupBy("turn", "_id", "label").agg(F.min("text").alias("text")))
+    so_far = Window.partitionBy("label").orderBy("turn", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("_bytes") <= most_bytes)
+    table = found.select("turn", "_id", "text", "label").toArrow().to_pandas()
+    return table.sort_values(["turn", "_id"], ignore_index=True)[["text", "label"]]

@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hillstream.llm.labels import held_out, labelled_sample
+from hillstream.llm.labels import MOST_BYTES, held_out, labelled_sample
 
 #: What a character may stand for besides itself.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
          "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
 #: Costs in nats: a look-alike, a mark or look-alike that stands for nothing, a repetition.
-SWAP, MARK, DROPPED, REPEATED = 0.7, 0.7, 5.0, 2.5
+SWAP, MARK, DROPPED, REPEATED = 0.7, 0.7, 8.0, 2.5
 #: Documents of each label that are learned from; tokens whose decoding a worker keeps.
 PER_CLASS, REMEMBERED = 4000, 100_000
+#: Counts that the character model holds: three orders and what stands before each, by hash.
+KINDS, SLOTS = 6, 1 << 18
 #: Letters of a stem; the least share of toxic documents among those that hold a learned feature; clean documents assumed to hold it unseen.
 STEM, LEAST, UNSEEN = (4, 5, 6, 7, 8), 0.5, 4.0
 
@@ -59,29 +61,64 @@ def _double(x: str) -> str:
     return re.sub(r"(.)\1+", r"\1", x)
 
 
+_SLOT = xxhash.xxh64_intdigest
+
+
+def grams(words: Counter) -> Counter:
+    """Counts by slot of the single characters, bigrams and trigrams of words, and of what stands before them.
+
+    Slots are hashes, so there are KINDS * SLOTS of them at most, whatever the alphabets.
+    """
+    out: Counter = Counter()
+    for w, k in words.items():
+        s = f"^^{w}$"
+        for i in range(2, len(s)):
+            for j in range(3):
+                out[j, s[i - j : i + 1]] += k
+                out[3 + j, s[i - j : i]] += k
+    slots: Counter = Counter()
+    for (kind, gram), k in out.items():
+        slots[kind * SLOTS + _SLOT(gram) % SLOTS] += k
+    return slots
+
+
+def gram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The counts of ``grams`` over the words of all rows of docs, summed in Spark; their number does not grow with the rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = Counter()
+            for t in b.column(0):
+                words.update((t.as_py() or "").lower().split())
+            slots = grams(Counter({w: k for w, k in words.items() if w.isalpha()}))
+            yield pa.RecordBatch.from_arrays([pa.array(slots.keys(), pa.int64()), pa.array(slots.values(), pa.int64())], names=["slot", "n"])
+
+    found = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(KINDS * SLOTS, dtype=np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 class CharModel:
-    """A character trigram model of words, interpolated with bigrams and single characters."""
-
-    def __init__(self, words: Counter):
-        self.n = [Counter(), Counter(), Counter()]
-        self.h = [Counter(), Counter(), Counter()]
-        for w, k in words.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                for j in range(3):
-                    self.n[j][s[i - j : i + 1]] += k
-                    self.h[j][s[i - j : i]] += k
-        self.kinds = max(30, len(self.n[0]))
+    """A character trigram model of words, interpolated with bigrams and single characters, from the counts of ``grams``."""
+
+    def __init__(self, counts: np.ndarray):
+        self.n = counts.reshape(KINDS, SLOTS)
+        self.kinds = max(30, int(np.count_nonzero(self.n[0])))
         self.seen: dict[tuple[str, str], float] = {}
 
+    def _count(self, kind: int, gram: str) -> int:
+        return int(self.n[kind, _SLOT(gram) % SLOTS])
+
     def cost(self, before: str, c: str) -> float:
         """-log p(c | two characters before)."""
         if (got := self.seen.get((before, c))) is None:
-            p = (self.n[0][c] + 0.5) / (self.h[0][""] + 0.5 * self.kinds)
+            p = (self._count(0, c) + 0.5) / (self._count(3, "") + 0.5 * self.kinds)
             for j in (1, 2):
                 k = before[-j:]
-                p = (self.n[j][k + c] + 5 * p) / (self.h[j][k] + 5)
-            got = self.seen[before, c] = -math.log(p)
+                p = (self._count(j, k + c) + 5 * p) / (self._count(3 + j, k) + 5)
+            got = -math.log(min(p, 1.0))
+            if len(self.seen) < REMEMBERED:
+                self.seen[before, c] = got
         return got
 
 
@@ -173,7 +210,8 @@ def distinct(texts: list[str]) -> list[int]:
 class ToxicModel:
     """Learned features with their odds, and the character model."""
 
-    def __init__(self, sample: pd.DataFrame, doubt: float = 3.0, least: float = LEAST):
+    def __init__(self, sample: pd.DataFrame, letters: np.ndarray | None = None, doubt: float = 3.0, least: float = LEAST):
+        """letters: the counts of ``gram_counts``; without them the words of the sample are counted."""
         usual: set[str] = set()
         words, docs, sizes, counts = Counter(), [0, 0], [0, 0], [Counter(), Counter()]
         for label in (0, 1):
@@ -201,7 +239,6 @@ class ToxicModel:
         toxic_texts = [t.lower() for t in sample["text"][sample["label"] == 1]]
         left = [t for t in toxic_texts if not features(suspicious(t)[0]) & explained]
         n_clean = len(sample) - len(toxic_texts)
-        letters = Counter()
         self.base = (len(left) + 0.5) / (len(left) + n_clean + 1) if toxic_texts else 0.0
         self.stems = {f[:-1]: p for f, p in self.odds.items() if f[-1] == "-"}
         self.words = {f: p for f, p in self.odds.items() if f[-1] != "-"}
@@ -212,9 +249,10 @@ class ToxicModel:
         self.bare = _bare({*self.words, *self.stems})
         self.heads = {f[:3] for f in (*self.words, *self.stems)}
         self.lengths, self.single_lengths = sorted({len(f) for f in self.stems}), sorted({len(f) for f in self.single_stems})
-        letters.update(words)
-        for f in (*self.words, *self.stems):
-            letters[f] += max(20, sum(words.values()) // 200)
+        if letters is None:
+            letters = np.zeros(KINDS * SLOTS, dtype=np.int64)
+            for slot, k in grams(words).items():
+                letters[slot] += k
         self.chars = CharModel(letters)
         self.known: dict[str, str] = {}
 
@@ -284,17 +322,18 @@ class ToxicModel:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-                    per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
+                    per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, threshold: float = 0.7) -> DataFrame:
     """Learn from a bounded sample of labelled rows that are not held out, then score every whole text.
 
     Returns one row per input row: doc_id, held_out, score (0 to 1, higher: label 1 is
     likelier) and predicted. A null text is empty; an empty text gets the score of a
     text without features. Repeated rows get equal scores; a null doc_id is not held
-    out. Without toxic labels all scores are 0. Other columns are ignored. The model,
-    bounded by ``per_class`` documents, is broadcast.
+    out. Without toxic labels all scores are 0. Other columns are ignored. Features are learned from at
+    most ``per_class`` documents and ``most_bytes`` bytes of each label; the character model counts the words of all
+    documents that are not held out, in a number of counts that is fixed. Both are broadcast.
     """
-    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(ToxicModel(sample))
+    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col, most_bytes)
+    model = docs.sparkSession.sparkContext.broadcast(ToxicModel(sample, gram_counts(docs.filter(~held_out(id_col)), text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

@@ -30,6 +30,33 @@ def test_sample_leaves_out_held_rows_and_is_bounded(spark):
     assert labelled_sample(docs, labels.filter("false"), "toxic", 20).empty
 
 
+def test_sample_is_bounded_whatever_repeats(spark):
+    ids = [i for i in range(200) if not held(i)][:40]
+    docs = spark.createDataFrame([(i, f"text {i} {'x' * 100}") for i in ids] + [(ids[0], f"again {k}") for k in range(500)] + [(None, "none")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[1], ids[1] % 2)] * 1000 + [(ids[2], 1 - ids[2] % 2), (None, 1)], "doc_id long, toxic int")
+    s = labelled_sample(docs, labels, "toxic", 100)
+    assert len(s) == 39 and s.text.is_unique and f"text {ids[2]} {'x' * 100}" not in set(s.text)
+    assert "again 0" in set(s.text)  # of several texts the least
+    few = labelled_sample(docs, labels, "toxic", 100, most_bytes=600)
+    assert 0 < len(few) < 12 and all(few[few.label == y].text.str.len().sum() <= 600 for y in (0, 1))
+    assert len(labelled_sample(docs, labels, "toxic", 3)) <= 6
+
+
+def test_gram_counts_are_those_of_all_words(spark):
+    rows = [("the cat",), ("THE 1x3 hat!",), (None,), ("",)]
+    got = toxicity.gram_counts(spark.createDataFrame(rows * 3, "text string").repartition(3))
+    want = toxicity.grams(toxicity.Counter({"the": 6, "cat": 3}))
+    assert {int(i): int(got[i]) for i in got.nonzero()[0]} == dict(want) and got.size == toxicity.KINDS * toxicity.SLOTS
+    m = toxicity.CharModel(got)
+    assert m.cost("^t", "h") < m.cost("^t", "x") and m.cost("ca", "t") < m.cost("ca", "q")
+
+
+def test_batches_of_documents_are_bounded():
+    sizes = np.array([1, 5000, 3, 1000, 30, *[10] * 100])
+    some = list(byte_conv.batches_of(np.arange(len(sizes)), sizes))
+    assert np.concatenate(some).tolist() == list(range(len(sizes))) and all(len(b) == 1 or len(b) <= byte_conv.BATCH and sizes[b].sum() <= byte_conv.BATCH_CHUNKS for b in some)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 255, 256, 257, 448, 449, 5000):
         raw = bytes((i * 7) % 251 + 1 for i in range(n))
@@ -128,7 +155,7 @@ def test_toxicity(spark):
     got = toxicity.toxicity_scores(docs, labels).toPandas().merge(d, on="doc_id")
     assert (got.held_out == got.held).all() and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
     out = got[got.held]
-    assert (out.predicted == out.toxic).mean() > 0.95
+    assert (out.predicted == out.toxic).mean() > 0.97 and out[out.toxic == 1].predicted.mean() >= 0.9 and out[out.toxic == 0].predicted.mean() < 0.02
     extra = toxicity.toxicity_scores(edge.frame(spark), labels).toPandas()
     assert len(extra) == len(edge.rows()) and extra.score.notna().all()
     assert toxicity.toxicity_scores(edge.frame(spark, []), labels).collect() == []
