@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hillstream.llm._store import Store
+from hillstream.llm._store import Store, cleared
 from hillstream.llm.byte_bpe import byte_bpe
 from hillstream.llm.exact_dedup import exact_dedup, normalised
 from hillstream.llm.mixing import WORD, mix
@@ -84,9 +84,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next one reads it."""
-    store = Store(spark, "pipeline")
+    """All stages over documents, each written before the next one reads it. Of the written tables only the one in use stays."""
+    store, before = Store(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.put(stage(spark, docs, sf_dir), name)
+        with cleared():
+            docs = store.put(stage(spark, docs, sf_dir), name)
+        if before:
+            store.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes: list[list[Store]] = []
+
+
 class Store:
-    """Tables of one run of one operator, under a folder of their own."""
+    """Tables of one run of one operator, under a folder of their own, which goes when the application ends if not before."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def _at(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,7 +57,21 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        """Remove a table that a later one has replaced."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Remove a table that a later one has replaced, if it is there."""
+        fs, path = self._at(self.path(name))
+        fs.delete(path, True)
+
+    def clear(self) -> None:
+        fs, path = self._at(self.root)
+        fs.delete(path, True)
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """The tables of stores made inside go at the end; what is made from them has to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for store in _scopes.pop():
+            store.clear()

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hillstream.llm._store import Store
 
 
-def components(edges: DataFrame, store: Store, most_steps: int = 50) -> DataFrame:
+def components(edges: DataFrame, store: Store) -> DataFrame:
     """edges: a, b (any order, loops allowed). Returns node, root, with root the least node reachable.
 
     Every step works on edges only and is written to the shared folder; no
     neighbourhood is gathered in one place: minima are pre-aggregated and written, so
     that the join to the edges of a hub is one of plain shuffles, whose rows can be split.
+    Steps go on until the edges stay the same; their number grows with the logarithm of the longest chain.
     """
     now = store.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star-0")
     mark = _mark(now)
-    for step in range(1, most_steps + 1):
+    for step in count(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store.put(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), f"least-{step}")
         large = store.put(both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large-{step}")
@@ -30,7 +33,6 @@ def components(edges: DataFrame, store: Store, most_steps: int = 50) -> DataFram
         now, before, mark = then, mark, _mark(then)
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_steps} steps")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -67,8 +67,7 @@ class MergeIndex:
         e = (table.withColumn("merge", F.expr(f"run div {self.fanout}")).withColumn("slot", F.col("run") % self.fanout)
              .withColumn("word", F.pmod(F.xxhash64("key", F.lit(0)), F.lit(words))).withColumn("bits", bits))
         w = Window.partitionBy("merge", "word")
-        for k in range(self.fanout):
-            e = e.withColumn(f"filter_{k}", F.bit_or(F.when(F.col("slot") == k, F.col("bits"))).over(w))
+        e = e.select("*", *(F.bit_or(F.when(F.col("slot") == k, F.col("bits"))).over(w).alias(f"filter_{k}") for k in range(self.fanout)))
         held = (F.coalesce((F.col("slot") != k) & (F.col(f"filter_{k}").bitwiseAND(F.col("bits")) == F.col("bits")), F.lit(False)) for k in range(self.fanout))
         return self.store.put(e.select(F.col("merge").alias("run"), "key", "best", "members", reduce(lambda a, b: a | b, held).alias("maybe")), f"probed-{level}")
 
