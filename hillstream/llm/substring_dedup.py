@@ -185,7 +185,9 @@ class Table:
             size = np.diff(np.r_[run, len(later)])
             cut = np.concatenate([np.arange(a, a + n, BITS) for a, n in zip(run, size, strict=True)])
             count = np.diff(np.r_[cut, len(later)])
-            yield self._rows(g[later[cut]], did[piece[later[cut]]], sub[piece[later[cut]]], start[later[cut]], pa.array((np.int64(1) << count) - 1), pa.nulls(len(cut), pa.list_(pa.int64())))
+            # nothing is counted of these rows; dealt by their document, those of one common window do not meet
+            where = did[piece[later[cut]]] * np.int64(0x5851F42D4C957F2D) + sub[piece[later[cut]]] + start[later[cut]]
+            yield self._rows(where, did[piece[later[cut]]], sub[piece[later[cut]]], start[later[cut]], pa.array((np.int64(1) << count) - 1), pa.nulls(len(cut), pa.list_(pa.int64())))
         cut = _starts(piece[kept][1:] != piece[kept][:-1], anchor[kept][1:] != anchor[kept][:-1], kept[1:] != kept[:-1] + 1)
         for part in np.array_split(cut, max(1, -(-len(cut) // 16384))):
             end = cut[np.searchsorted(cut, part[-1]) + 1] if part[-1] != cut[-1] else len(kept)
