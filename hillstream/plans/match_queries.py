@@ -189,14 +189,14 @@ def player_detections(spark, d):
     return threads.player_detections(_feed_rows(spark, d), KEY)
 
 
-@query("{obs}, " + THREADS + """, p AS (SELECT m.match_id, p.player_id, '[T]Player ' || p.player_id AS name, CASE WHEN p.player_id <= 4 THEN 'ally' ELSE 'enemy' END AS team FROM range(10) m(match_id), range(1, 9) p(player_id)),
+@query("{obs}, " + THREADS + """, p AS (SELECT m.match_id, p.player_id, '[T]Player ' || p.player_id AS name, CASE WHEN p.player_id <= 4 THEN 'ally' ELSE 'enemy' END AS team FROM (SELECT DISTINCT match_id FROM obs) m, range(1, 9) p(player_id)),
 s AS (SELECT *, (SELECT count(*) FROM ev WHERE ev.match_id = p.match_id AND killer = player_id) AS kills, (SELECT count(*) FROM ev WHERE ev.match_id = p.match_id AND victim = player_id) AS deaths FROM p)
 SELECT *, round(CASE WHEN deaths = 0 THEN CAST(kills AS DOUBLE) ELSE kills / deaths END, 2) AS kd FROM s""", recursive=True)
 def kd_of_events(spark, d):
     """Kills and deaths of the events that the threads counted."""
     from hillstream.operators import summary
 
-    return summary.kills_deaths(_events(spark, d).filter("counted"), roster(spark), KEY)
+    return summary.kills_deaths(_events(spark, d).filter("counted"), roster(spark, d), KEY)
 
 
 def kill_rows(spark, d) -> DataFrame:
@@ -275,7 +275,7 @@ cs AS (SELECT f.match_id, f.frame, team, cluster, count(*) AS n, sum(confidence)
 tops AS (SELECT match_id, frame, team, cluster, name, n, least(1.0, w / n + least(0.20, 0.05 * (n - 1))) AS confidence, row_number() OVER (PARTITION BY match_id, frame, team ORDER BY n DESC, round(w, 6) DESC, length(name) DESC, cluster) AS place FROM cs JOIN names USING (match_id, frame, team, cluster) QUALIFY place <= 4),
 okay AS (SELECT match_id, frame FROM (SELECT match_id, frame, team FROM tops WHERE n >= 2 AND confidence >= 0.72 GROUP BY ALL HAVING count(*) >= 4) GROUP BY ALL HAVING count(*) = 2),
 locks AS (SELECT match_id, min(frame) AS lock FROM okay GROUP BY 1),
-reg AS (SELECT f.match_id, f.frame, list(t.name ORDER BY CASE t.team WHEN 'friendly' THEN 0 ELSE 1 END, place) AS players, round(avg(t.confidence), 6) AS confidence, coalesce(any_value(f.frame >= lock), false) AS complete
+reg AS (SELECT f.match_id, f.frame, list(t.name ORDER BY CASE t.team WHEN 'friendly' THEN 0 ELSE 1 END, place) AS players, round(avg(t.confidence), 9) AS confidence, coalesce(any_value(f.frame >= lock), false) AS complete
   FROM fs f LEFT JOIN locks USING (match_id) JOIN tops t ON t.match_id = f.match_id AND t.frame = least(f.frame, coalesce(lock, f.frame)) GROUP BY 1, 2)"""
 
 
@@ -283,14 +283,14 @@ reg AS (SELECT f.match_id, f.frame, list(t.name ORDER BY CASE t.team WHEN 'frien
 def registry_by_frame(spark, d):
     """The provisional registry after every visible frame, until it is complete and locked."""
     r = registration.registered(_board(spark, d), KEY, "frame")
-    return r.select("match_id", "frame", F.array_join("players", ",").alias("players"), F.size("player_ids").cast("long").alias("n_players"), F.round("confidence", 6).alias("confidence"), "complete", "locked")
+    return r.select("match_id", "frame", F.array_join("players", ",").alias("players"), F.size("player_ids").cast("long").alias("n_players"), F.round("confidence", 9).alias("confidence"), "complete", "locked")
 
 
 @query("{obs}, " + REGISTERED + " SELECT match_id, min(frame) AS frame, arg_min(array_to_string(players, ','), frame) AS players, arg_min(confidence, frame) AS confidence FROM reg WHERE complete GROUP BY 1", recursive=True)
 def registration_done(spark, d):
     """The frame that completes each registry."""
     r = registration.completed(registration.registered(_board(spark, d), KEY, "frame"), KEY, "frame")
-    return r.select("match_id", "frame", F.array_join("players", ",").alias("players"), F.round("confidence", 6).alias("confidence"))
+    return r.select("match_id", "frame", F.array_join("players", ",").alias("players"), F.round("confidence", 9).alias("confidence"))
 
 
 LAST = "lastv AS (SELECT match_id, max(nades) AS nades, max(stuns) AS stuns, count(*) FILTER (WHERE event_type = 'signup') AS specialties, arg_max(score, (t, event_id)) FILTER (WHERE score IS NOT NULL) AS blue_score, arg_max(hill, (t, event_id)) FILTER (WHERE hill IS NOT NULL) AS hill FROM obs GROUP BY 1)"
@@ -301,7 +301,7 @@ SELECT match_id, players, confidence, nades, stuns, specialties, blue_score, hil
 def second_pass(spark, d):
     """The registries that are complete, locked and whole, with what the first pass hands on."""
     r = registration.registered(_board(spark, d), KEY, "frame")
-    last = r.groupBy("match_id").agg(F.max_by(F.struct("complete", "locked", F.size("player_ids").alias("players"), F.round("confidence", 6).alias("confidence")), "frame").alias("r")).select("match_id", "r.*")
+    last = r.groupBy("match_id").agg(F.max_by(F.struct("complete", "locked", F.size("player_ids").alias("players"), F.round("confidence", 9).alias("confidence")), "frame").alias("r")).select("match_id", "r.*")
     o, w = observations(spark, d), F.struct("t", "event_id")
     some = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), w))
     return gates.second_pass(last, _totals(spark, d), o.groupBy("match_id").agg(some("score").alias("blue_score"), some("hill").alias("hill")), KEY)
@@ -322,11 +322,11 @@ def reading_gates(spark, d):
 
 
 @query("""SELECT m.match_id, x.module, CASE WHEN NOT (m.match_id % 5 <> 4 OR x.module = 'scoreboard') THEN 'disabled' WHEN x.module = 'killfeed' AND NOT (m.match_id % 2 = 0 AND m.match_id % 3 <> 0 AND 8 - m.match_id % 7 // 6 = 8) THEN 'waiting'
-  WHEN x.module = 'utility' AND m.match_id % 3 = 1 AND NOT m.match_id % 2 = 0 THEN 'waiting' ELSE 'active' END AS status FROM range(10) m(match_id), (VALUES ('scoreboard'), ('killfeed'), ('utility'), ('hardpoint')) x(module)""")
+  WHEN x.module = 'utility' AND m.match_id % 3 = 1 AND NOT m.match_id % 2 = 0 THEN 'waiting' ELSE 'active' END AS status FROM (SELECT DISTINCT user_id % 10 + 10 * (user_id // 100) AS match_id FROM events) m, (VALUES ('scoreboard'), ('killfeed'), ('utility'), ('hardpoint')) x(module)""")
 def module_gates(spark, d):
     """Whether each module runs for each match: the feed needs a locked registry of eight, others at most completion."""
     m = F.col("match_id")
-    state = roster(spark).select("match_id").distinct().select("match_id", (m % 5 != 4).alias("on"), (m % 2 == 0).alias("complete"), (m % 3 != 0).alias("locked"), (8 - F.floor(m % 7 / 6)).alias("players"), (m % 3 == 1).alias("needs"))
+    state = roster(spark, d).select("match_id").distinct().select("match_id", (m % 5 != 4).alias("on"), (m % 2 == 0).alias("complete"), (m % 3 != 0).alias("locked"), (8 - F.floor(m % 7 / 6)).alias("players"), (m % 3 == 1).alias("needs"))
     always, never = F.lit(True), F.lit(False)
     status = {"scoreboard": gates.module_status(always, never, F.col("complete")), "killfeed": gates.module_status(F.col("on"), always, F.col("complete"), F.col("locked"), F.col("players")),
               "utility": gates.module_status(F.col("on"), F.col("needs"), F.col("complete")), "hardpoint": gates.module_status(F.col("on"), never, F.col("complete"))}
@@ -454,7 +454,7 @@ SELECT match_id, '{"final_score":{"blue":250},"registry":' || CAST(to_json(list(
   || ',"kd":{' || string_agg('"' || player_id || '":' || kd, ',' ORDER BY player_id) || '},"kills":{' || string_agg('"' || player_id || '":' || kills, ',' ORDER BY player_id) || '},"deaths":{' || string_agg('"' || player_id || '":' || deaths, ',' ORDER BY player_id)
   || '},"utility":{"nades":' || any_value(n) || ',"stuns":' || any_value(s) || ',"specialties":' || any_value(p) || '}}' AS document FROM kd JOIN t USING (match_id) GROUP BY match_id""")
 def summary_documents(spark, d):
-    finals = roster(spark).select("match_id").distinct().select("match_id", F.lit(250).alias("json_blue"), F.lit(None).cast("int").alias("json_red"))
+    finals = roster(spark, d).select("match_id").distinct().select("match_id", F.lit(250).alias("json_blue"), F.lit(None).cast("int").alias("json_red"))
     return sinks.summary_json(_stats(spark, d), finals, _totals(spark, d), KEY)
 
 

@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 OBS = """e AS (
-  SELECT user_id % 10 AS match_id, user_id % 8 + 1 AS player_id, event_id, CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS t,
+  SELECT user_id % 10 + 10 * (user_id // 100) AS match_id, user_id % 8 + 1 AS player_id, event_id, CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS t,
          CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type, value FROM events
 ), obs AS (
   SELECT *, CAST(CASE WHEN event_type = 'error' THEN NULL WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END AS BIGINT) AS state01,
@@ -274,14 +274,14 @@ def delta_gate(spark, d):
 
 
 KD = """kills AS (SELECT match_id, killer, victim FROM obs WHERE event_type = 'purchase' AND killer <> victim),
-players AS (SELECT m.match_id, p.player_id, '[T]Player ' || p.player_id AS name, CASE WHEN p.player_id <= 4 THEN 'ally' ELSE 'enemy' END AS team FROM range(10) m(match_id), range(1, 9) p(player_id)),
+players AS (SELECT m.match_id, p.player_id, '[T]Player ' || p.player_id AS name, CASE WHEN p.player_id <= 4 THEN 'ally' ELSE 'enemy' END AS team FROM (SELECT DISTINCT match_id FROM obs) m, range(1, 9) p(player_id)),
 stats AS (SELECT p.match_id, p.player_id, p.name, p.team, (SELECT count(*) FROM kills k WHERE k.match_id = p.match_id AND k.killer = p.player_id) AS kills, (SELECT count(*) FROM kills k WHERE k.match_id = p.match_id AND k.victim = p.player_id) AS deaths FROM players p),
 kd AS (SELECT *, round(CASE WHEN deaths = 0 THEN CAST(kills AS DOUBLE) ELSE kills / deaths END, 2) AS kd FROM stats)"""
 
 
 def _stats(spark, d):
     e = observations(spark, d).filter("event_type = 'purchase' and killer <> victim").select("match_id", "killer", "victim")
-    return summary.kills_deaths(e, roster(spark), KEY)
+    return summary.kills_deaths(e, roster(spark, d), KEY)
 
 
 def _totals(spark, d):

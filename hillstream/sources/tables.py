@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hillstream.operators.series import upto
@@ -56,11 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _match() -> Column:
+    return F.col("user_id") % 10 + 10 * F.floor(F.col("user_id") / 100)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as readings of ten matches: whole seconds t, and signals made from the type and the number in props."""
+    """Events as readings of matches, ten for each hundred users: whole seconds t, and signals made from the type and the number in props."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    d = e.select((F.col("user_id") % 10).alias("match_id"), (F.col("user_id") % 8 + 1).alias("player_id"), "event_id",
+    d = e.select(_match().alias("match_id"), (F.col("user_id") % 8 + 1).alias("player_id"), "event_id",
                  F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").alias("t"), k.alias("k"), "event_type", "value")
     kind = F.col("event_type")
     purchases = F.sum(F.when(kind == "purchase", 1).otherwise(0)).over(upto(["match_id"], ["t", "event_id"]))
@@ -72,7 +76,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("killer", F.col("player_id")).withColumn("victim", F.col("k") % 8 + 1))
 
 
-def roster(spark: SparkSession) -> DataFrame:
-    """Eight players for each of the ten matches, four a side."""
-    r = spark.range(10).select(F.col("id").alias("match_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("player_id"))
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight players for each match, four a side."""
+    r = table(spark, sf_dir, "events").select(_match().alias("match_id")).distinct().select("match_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("player_id"))
     return r.select("match_id", "player_id", F.concat(F.lit("[T]Player "), F.col("player_id").cast("string")).alias("name"), F.when(F.col("player_id") <= 4, "friendly").otherwise("enemy").alias("team"))
