@@ -65,12 +65,17 @@ def apportioned(items: DataFrame, by: list[str], key: str, share: str, seats: st
     return t.groupBy(*kept).agg((F.first("_base") + F.sum("_moved")).cast("long").alias(out))
 
 
+def _number(*parts: Column) -> Column:
+    """The first 60 bits of the MD5 of the parts; nulls are passed over."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 15), 16, 10).cast("long")
+
+
 def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(b, d) - F.greatest(a, c))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-        most: int = 3, block_words: int | None = None, shard_words: int = 1 << 20, seed: int = 17, row_col: str | None = None) -> DataFrame:
+        most: int = 3, block_words: int | None = None, shard_words: int = 1 << 20, most_shards: int = 1 << 16, seed: int = 17, row_col: str | None = None) -> DataFrame:
     """What a mix of the sources takes of each document.
 
     Returns one row per input row: doc_id, size, source_size, target, taken and the
@@ -79,38 +84,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty texts have size 0 and are taken with 0 words; a null source is a source of
     its own, after all others. Reruns give the same rows; repeated rows are placed one after the
     other. Without rows or words the result is empty or 0. ``block_words`` defaults to
-    the smallest positive target / 128, from 1 to 1024, so small sources round finely.
+    the smallest positive target / 128, from 1 to 1024, so small sources round finely. A source has a shard for each
+    ``shard_words`` of its words, but ``most_shards`` at most, whose quotas one window can apportion.
+    Rows without a doc_id are dealt by their texts.
     ``row_col``, if given, tells rows with one doc_id or none apart and is returned too.
     """
     more = [row_col] if row_col else []
-    own = [F.when(F.col("doc_id").isNull(), F.col(c)) for c in more]  # hashes pass over nulls, so a doc_id decides where there is one
+    lit = F.lit
     store = Store(docs.sparkSession, "mixing")
     rows = store.put(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                 F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more), "rows")
+                                 F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                                 F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("alone"), *more), "rows")
     everything = Window.partitionBy()
     t = levelled(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     auto = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything) / 128)))
     t = (t.withColumn("block", F.coalesce(F.lit(block_words), auto, F.lit(1)).cast("long"))
          .withColumn("blocks", F.round(F.sum("target").over(everything) / F.col("block")).cast("long")).withColumn("all", F.lit(0)))
     sources = store.put(apportioned(t, ["all"], "place", "target", "blocks", "source_blocks")
-                        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
+                        .withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(most_shards), F.ceil(F.col("source_size") / shard_words))).cast("long"))
                         .select(F.col("source").alias("s_source"), "place", "source_size", "target", "block", "source_blocks", "shards"), "sources")
 
     dealt = rows.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).select(
-        "doc_id", "size", "place", "source_size", "target", "block", "source_blocks", *more,
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id", *own), F.col("shards")).alias("shard"), F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", *own).alias("turn"))
+        "doc_id", "size", "place", "source_size", "target", "block", "source_blocks", "alone", *more,
+        F.pmod(_number(lit(seed), lit("shard"), F.col("doc_id"), F.col("alone")), F.col("shards")).alias("shard"), _number(lit(seed), lit("order"), F.col("doc_id"), F.col("alone")).alias("turn"))
     parts = dealt.groupBy("place", "block", "source_blocks", "shard").agg(F.sum("size").cast("double").alias("words"))
     quotas = store.put(apportioned(parts, ["place"], "shard", "words", "source_blocks", "quota")
                        .select(F.col("place").alias("p_place"), F.col("shard").alias("p_shard"), F.col("words").cast("long").alias("words"), "quota"), "quotas")
 
-    along = Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "size", "alone", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = (dealt.withColumn("to", F.sum("size").over(along)).withColumn("from", F.col("to") - F.col("size"))
          .join(quotas, (F.col("place") == F.col("p_place")) & (F.col("shard") == F.col("p_shard"))))
     x = x.withColumn("n", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")))).otherwise(0).cast("long"))
     x = x.withColumn("quota", F.least(F.col("quota"), most * F.col("n")))
     x = (x.withColumn("rounds", F.when(F.col("n") > 0, F.expr("quota div n")).otherwise(0).cast("long"))
          .withColumn("rest", F.col("quota") - F.col("rounds") * F.col("n"))
-         .withColumn("start", F.when(F.col("n") > 0, F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "place", "shard"), F.col("n"))).otherwise(0)))
+         .withColumn("start", F.when(F.col("n") > 0, F.pmod(_number(lit(seed), lit("start"), F.col("place"), F.col("shard")), F.col("n"))).otherwise(0)))
     cut = lambda j: F.when(F.col("n") > 0, F.expr(f"(({j}) * words) div n")).otherwise(0).cast("long")  # noqa: E731  where block j of n equal ones begins
     a1, b1, b2 = cut("start"), cut("least(start + rest, n)"), cut("greatest(0, start + rest - n)")
     zero = F.lit(0).cast("long")

@@ -12,7 +12,7 @@ from hillstream.llm.exact_dedup import exact_dedup
 from hillstream.llm.mixing import mix
 from hillstream.llm.quality_rules import BOILERPLATE, quality_rules
 from hillstream.llm.secrets import secret_scan
-from hillstream.llm.sharding import place
+from hillstream.llm.sharding import lookup_table, place
 from hillstream.llm.simhash import simhash_groups
 from hillstream.llm.substring_dedup import substring_dedup
 from hillstream.llm.toxicity import toxicity_scores
@@ -71,7 +71,51 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_secrets": _secrets_sql(), "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_mixing": OP3_SQL, "op4_secrets": _secrets_sql(), "op6_sharding": _sharding_sql(), "op8_substring_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+
+
+def _sharding_sql() -> str:
+    """The filled table is a list of shard numbers, made by its rule; placement is SQL."""
+    slot = f"CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS}"
+    return f"SELECT doc_id, {slot} AS slot, {SHARDS}[{lookup_table(SHARDS, SLOTS)}[{slot} + 1] + 1] AS shard FROM documents"
+
+
+#: Blocks and quotas by listing all quotients and taking the highest.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CASE WHEN doc_id IS NULL THEN ':' || md5(coalesce(text, '')) ELSE ':' || doc_id END AS name FROM documents
+), s AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1)
+), w AS (
+  SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM s
+), l AS (
+  SELECT *, cap / weight AS turn, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM w WINDOW before AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, place, source_size, least(cap, coalesce((SELECT arg_min(level, (turn, place)) FROM l WHERE level <= turn) * weight, cap)) AS target FROM l
+), b AS (
+  SELECT *, CAST(coalesce(greatest(1, least(1024, floor((SELECT min(target) FROM t WHERE target > 0) / 128))), 1) AS BIGINT) AS block FROM t
+), n AS (
+  SELECT *, (SELECT CAST(round(sum(target) / any_value(block)) AS BIGINT) FROM b) AS blocks FROM b
+), q AS (
+  SELECT place FROM (SELECT place, blocks, target / (2 * unnest(range(0, blocks)) + 1) AS quotient FROM n WHERE target > 0) QUALIFY row_number() OVER (ORDER BY quotient DESC, place) <= blocks
+), sb AS (
+  SELECT n.*, coalesce(c.won, 0) AS source_blocks, greatest(1, least(65536, CAST(ceil(source_size / 1048576) AS BIGINT))) AS shards FROM n LEFT JOIN (SELECT place, count(*) AS won FROM q GROUP BY 1) c USING (place)
+), r AS (
+  SELECT doc_id, size, place, source_size, target, block, source_blocks, CAST('0x' || substring(md5('17:shard' || name), 1, 15) AS BIGINT) % shards AS shard, CAST('0x' || substring(md5('17:order' || name), 1, 15) AS BIGINT) AS turn FROM d JOIN sb ON d.source IS NOT DISTINCT FROM sb.source
+), p AS (
+  SELECT place, shard, any_value(block) AS block, any_value(source_blocks) AS source_blocks, CAST(sum(size) AS BIGINT) AS words FROM r GROUP BY 1, 2
+), pq AS (
+  SELECT place, shard, count(*) AS won FROM (SELECT place, shard FROM (SELECT place, shard, source_blocks, CAST(words AS DOUBLE) / (2 * unnest(range(0, source_blocks)) + 1) AS quotient FROM p WHERE words > 0)
+    QUALIFY row_number() OVER (PARTITION BY place ORDER BY quotient DESC, shard) <= source_blocks) GROUP BY 1, 2
+), k AS (
+  SELECT place, shard, words, n, least(coalesce(won, 0), 3 * n) AS quota FROM (SELECT *, CASE WHEN words > 0 THEN greatest(1, CAST(round(words / block) AS BIGINT)) ELSE 0 END AS n FROM p) LEFT JOIN pq USING (place, shard)
+), c AS (
+  SELECT *, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS rounds, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest, CASE WHEN n > 0 THEN CAST('0x' || substring(md5('17:start:' || place || ':' || shard), 1, 15) AS BIGINT) % n ELSE 0 END AS start FROM k
+), o AS (
+  SELECT r.*, words, n, rounds, rest, start, CAST(sum(size) OVER (PARTITION BY place, shard ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r JOIN c USING (place, shard)
+)
+SELECT doc_id, size, source_size, target, CASE WHEN n > 0 THEN CAST(rounds * size + greatest(0, least(upto, least(start + rest, n) * words // n) - greatest(upto - size, start * words // n)) + greatest(0, least(upto, greatest(0, start + rest - n) * words // n) - (upto - size)) AS BIGINT) ELSE 0 END AS taken FROM o
+"""
 
 
 OP10_SQL = r"""
