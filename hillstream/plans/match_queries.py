@@ -174,11 +174,14 @@ def event_threads(spark, d):
     return _events(spark, d).select("match_id", "event_id", "created", "counted", "blocked", "killer", "victim")
 
 
-@query("{obs}, " + THREADS + """, c AS (SELECT match_id, count(*) FILTER (WHERE counted) AS kills, count(*) FILTER (WHERE counted) AS deaths, 0 AS trades, count(*) FILTER (WHERE created) AS event_threads_created, count(*) FILTER (WHERE NOT created) AS event_threads_reused,
+COUNTED = THREADS + """, c AS (SELECT match_id, count(*) FILTER (WHERE counted) AS kills, count(*) FILTER (WHERE counted) AS deaths, CAST(0 AS BIGINT) AS trades, count(*) FILTER (WHERE created) AS event_threads_created, count(*) FILTER (WHERE NOT created) AS event_threads_reused,
   count(*) FILTER (WHERE counted) AS events_counted, count(*) FILTER (WHERE blocked = 'same_side') AS events_blocked_same_side, count(*) FILTER (WHERE blocked = 'low_confidence') AS events_blocked_low_confidence, count(*) FILTER (WHERE blocked = 'victim_cooldown') AS events_blocked_victim_cooldown FROM ev GROUP BY 1),
 n AS (SELECT match_id, count(*) AS row_groups_detected, CAST(sum(CASE WHEN lp IS NULL THEN 0 ELSE 1 END + CASE WHEN rp IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS resolved_name_detections, count(*) FILTER (WHERE lp IS NULL OR rp IS NULL) AS single_side_row_groups FROM er GROUP BY 1),
-b AS (SELECT match_id, count(*) AS name_detections FROM obs GROUP BY 1)
-SELECT b.*, resolved_name_detections, row_groups_detected, single_side_row_groups, c.* EXCLUDE (match_id) FROM b JOIN n USING (match_id) JOIN c USING (match_id)""", recursive=True)
+b AS (SELECT match_id, count(*) AS name_detections FROM obs GROUP BY 1),
+counters AS (SELECT b.*, resolved_name_detections, row_groups_detected, single_side_row_groups, c.* EXCLUDE (match_id) FROM b JOIN n USING (match_id) JOIN c USING (match_id))"""
+
+
+@query("{obs}, " + COUNTED + " SELECT * FROM counters", recursive=True)
 def kill_counters(spark, d):
     """All counters of the feed."""
     return threads.kill_counters(observations(spark, d), _feed_rows(spark, d), _events(spark, d), KEY)
@@ -458,17 +461,33 @@ def summary_documents(spark, d):
     return sinks.summary_json(_stats(spark, d), finals, _totals(spark, d), KEY)
 
 
-@query("{obs}, " + KD + """, t AS (SELECT match_id, count(*) AS frames, max(t) AS last_t, max(nades) AS n, max(stuns) AS s, count(*) FILTER (WHERE event_type = 'signup') AS p FROM obs GROUP BY 1),
+def _report_sql() -> str:
+    ranked = lambda c: f"coalesce(list('- ' || name || ': ' || st.{c} ORDER BY st.{c} DESC, lower(name), player_id) FILTER (WHERE st.{c} > 0), ['- none'])"
+    counters = ", ".join(f"'{k}: ' || any_value(counters.{v})" for k, v in sinks.COUNTERS.items())
+    return "{obs}, " + COUNTED + f""", pl AS (SELECT m.match_id, p.player_id, '[T]Player ' || p.player_id AS name FROM (SELECT DISTINCT match_id FROM obs) m, range(1, 9) p(player_id)),
+st AS (SELECT pl.*, (SELECT count(*) FROM ev WHERE ev.match_id = pl.match_id AND killer = player_id) AS kills, (SELECT count(*) FROM ev WHERE ev.match_id = pl.match_id AND victim = player_id) AS deaths,
+  (SELECT count(*) FILTER (WHERE lp = player_id) + count(*) FILTER (WHERE rp = player_id) FROM er WHERE er.match_id = pl.match_id) AS detections FROM pl),
+t AS (SELECT match_id, count(*) AS frames, max(t) AS last_t, max(nades) AS n, max(stuns) AS s, count(*) FILTER (WHERE event_type = 'signup') AS p, arg_max(score, (t, event_id)) FILTER (WHERE score IS NOT NULL) AS blue FROM obs GROUP BY 1),
 l AS (SELECT match_id, list_concat(['Validation Summary', 'Source: match ' || match_id, 'Last frame: ' || any_value(frames), 'Last timestamp: ' || any_value(last_t), '', 'Registered Players:'], list('- ' || name ORDER BY player_id),
-  ['', 'Player Kills:'], list('- ' || name || ': ' || kills ORDER BY kills DESC, lower(name), player_id), ['', 'Player Deaths:'], list('- ' || name || ': ' || deaths ORDER BY deaths DESC, lower(name), player_id),
-  ['', 'Utility Counts:', 'Grenade: ' || any_value(n), 'Stun: ' || any_value(s), 'Specialty equipment: ' || any_value(p), '', 'Hardpoint:', 'Blue score: 250', 'Red score: None', 'Current hill: None', '', 'Module Status:', '- killfeed: active']) AS lines FROM kd JOIN t USING (match_id) GROUP BY match_id)
-SELECT match_id, unnest(range(1, len(lines) + 1)) AS line_number, unnest(lines) AS line FROM l""")
+  ['', 'Scoreboard Registration:', 'Visible: False', 'Registration complete: True', '', 'Killfeed Counts:', {counters}, 'Player detection counts:'], {ranked('detections')}, ['', 'Player Kills:'], {ranked('kills')}, ['', 'Player Deaths:'], {ranked('deaths')},
+  ['', 'Utility Counts:', 'Grenade: ' || any_value(n), 'Stun: ' || any_value(s), 'Specialty equipment: ' || any_value(p), '', 'Hardpoint:', 'Blue score: ' || coalesce(CAST(any_value(blue) AS VARCHAR), 'None'), 'Red score: None', 'Current hill: None', '', 'OCR confidence: None', '', 'Module Status:', '- killfeed: active', '- utility: disabled']) AS lines
+  FROM st JOIN t USING (match_id) JOIN counters USING (match_id) GROUP BY match_id)
+SELECT match_id, unnest(range(1, len(lines) + 1)) AS line_number, unnest(lines) AS line FROM l"""
+
+
+@query(_report_sql(), recursive=True)
 def report_text(spark, d):
     """The whole text report, line by line."""
-    facts = observations(spark, d).groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.max("t").alias("last_t"))
-    head = [F.lit("Validation Summary"), F.concat(F.lit("Source: match "), F.col("match_id").cast("string")), F.concat(F.lit("Last frame: "), F.col("frames").cast("string")), F.concat(F.lit("Last timestamp: "), F.col("last_t").cast("string"))]
-    scores_ = {"Blue score": F.lit(250), "Red score": F.lit(None), "Current hill": F.lit(None)}
-    return sinks.report(_stats(spark, d), facts.join(_totals(spark, d), "match_id"), KEY, head, scores_, {"killfeed": "active"})
+    from hillstream.operators import summary
+
+    o, rows, events = observations(spark, d), _feed_rows(spark, d), _events(spark, d)
+    w = F.struct("t", "event_id")
+    facts = o.groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.max("t").alias("last_t"), F.max_by(F.when(F.col("score").isNotNull(), F.col("score")), F.when(F.col("score").isNotNull(), w)).alias("blue"))
+    facts = facts.join(threads.kill_counters(o, rows, events, KEY), "match_id").join(_totals(spark, d), "match_id")
+    stats = summary.kills_deaths(events.filter("counted"), roster(spark, d), KEY).join(threads.player_detections(rows, KEY), [*KEY, "player_id"], "left").na.fill(0, ["detections"])
+    none, text_ = F.lit(None), F.lit
+    return sinks.report(stats, facts, KEY, {"Source": F.concat(F.lit("match "), F.col("match_id").cast("string")), "Last frame": F.col("frames"), "Last timestamp": F.col("last_t")},
+                        {"Visible": text_("False"), "Registration complete": text_("True")}, {"Blue score": F.col("blue"), "Red score": none, "Current hill": none}, none, {"killfeed": text_("active"), "utility": text_("disabled")})
 
 
 @query("{obs} SELECT match_id, unnest(['First pass complete.', 'Frames processed: ' || count(*), 'Players seen: ' || count(DISTINCT player_id)]) AS line, unnest([1, 2, 3]) AS line_number FROM obs GROUP BY 1")

@@ -60,23 +60,33 @@ def numbered(df: DataFrame, keys: list[str], lines: Column) -> DataFrame:
     return df.select(*keys, F.posexplode(lines).alias("n", "line")).select(*keys, (F.col("n") + 1).cast("long").alias("line_number"), "line")
 
 
-def report(stats: DataFrame, facts: DataFrame, keys: list[str], head: list[Column], scores: dict[str, Column], modules: dict[str, str]) -> DataFrame:
-    """The text report of each match, one row a line; lists of players, few by their ids, by falling count and lower-case name.
+#: What the report calls the counters of the feed, in its order.
+COUNTERS = {"Kills": "kills", "Deaths": "deaths", "Trades": "trades", "Name detections": "name_detections", "Resolved name detections": "resolved_name_detections", "Row groups detected": "row_groups_detected",
+            "Single-side row groups": "single_side_row_groups", "Event threads created": "event_threads_created", "Event threads reused": "event_threads_reused", "Events counted": "events_counted",
+            "Events blocked by victim cooldown": "events_blocked_victim_cooldown", "Events blocked by low confidence": "events_blocked_low_confidence", "Events blocked by same-side pairing": "events_blocked_same_side"}
+USED = {"Grenade": "nades", "Stun": "stuns", "Specialty equipment": "specialties"}
 
-    facts: keys, nades, stuns, specialties and the columns of ``head`` and ``scores``. A list without entries says so, and so does a score without a value.
+
+def report(stats: DataFrame, facts: DataFrame, keys: list[str], head: dict[str, Column], registration: dict[str, Column], scores: dict[str, Column], confidence: Column, modules: dict[str, Column]) -> DataFrame:
+    """The text report of each match, one row a line.
+
+    stats: keys, player_id, name, kills, deaths, detections; facts: keys, the columns of COUNTERS and USED and those that the other
+    arguments use. Players of a match, few by their ids, are listed by falling count, then lower-case name; those
+    without a count are left out, an empty list says so, and a value that is missing is None.
     """
-    people = stats.groupBy(*keys).agg(F.collect_list(F.struct("player_id", "name", "kills", "deaths")).alias("_people"))
+    people = stats.groupBy(*keys).agg(F.collect_list(F.struct("player_id", "name", "kills", "deaths", "detections")).alias("_people"))
 
     def ranked(c: str) -> Column:
-        some = F.array_sort(F.transform("_people", lambda p: F.struct((-p[c]).alias("n"), F.lower(p["name"]).alias("k"), p["player_id"], p["name"].alias("name"))))
-        return F.transform(some, lambda p: F.concat(F.lit("- "), p["name"], F.lit(": "), (-p["n"]).cast("string")))
+        some = F.transform(F.filter("_people", lambda p: p[c] > 0), lambda p: F.struct((-p[c]).alias("n"), F.lower(p["name"]).alias("k"), p["player_id"], p["name"].alias("name")))
+        return F.transform(F.array_sort(some), lambda p: F.concat(F.lit("- "), p["name"], F.lit(": "), (-p["n"]).cast("string")))
 
     names = F.transform(F.array_sort(F.transform("_people", lambda p: F.struct(p["player_id"], p["name"].alias("name")))), lambda p: F.concat(F.lit("- "), p["name"]))
     listed = lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit("- none")))
-    said = lambda k, v: F.concat(F.lit(k + ": "), F.coalesce(v.cast("string"), F.lit("None")))
+    said = lambda some, mark="": [F.concat(F.lit(f"{mark}{k}: "), F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("None"))) for k, v in some.items()]
     block = lambda *some: F.array(*(F.lit(x) if isinstance(x, str) else x for x in some))
-    lines = F.concat(block(*head, "", "Registered Players:"), listed(names), block("", "Player Kills:"), listed(ranked("kills")), block("", "Player Deaths:"), listed(ranked("deaths")),
-                     block("", "Utility Counts:", said("Grenade", F.col("nades")), said("Stun", F.col("stuns")), said("Specialty equipment", F.col("specialties"))),
-                     block("", "Hardpoint:", *(said(k, v) for k, v in scores.items())), block("", "Module Status:", *(f"- {k}: {v}" for k, v in modules.items())))
-    some = facts.join(people, keys, "left").withColumn("_people", F.coalesce("_people", F.array().cast("array<struct<player_id:bigint,name:string,kills:bigint,deaths:bigint>>")))
+    lines = F.concat(block("Validation Summary", *said(head), "", "Registered Players:"), listed(names), block("", "Scoreboard Registration:", *said(registration)),
+                     block("", "Killfeed Counts:", *said(COUNTERS), "Player detection counts:"), listed(ranked("detections")), block("", "Player Kills:"), listed(ranked("kills")),
+                     block("", "Player Deaths:"), listed(ranked("deaths")), block("", "Utility Counts:", *said(USED)), block("", "Hardpoint:", *said(scores)),
+                     block("", *said({"OCR confidence": confidence}), "", "Module Status:", *said(modules, "- ")))
+    some = facts.join(people, keys, "left").withColumn("_people", F.coalesce("_people", F.array().cast("array<struct<player_id:bigint,name:string,kills:bigint,deaths:bigint,detections:bigint>>")))
     return numbered(some, keys, lines)

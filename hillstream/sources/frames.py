@@ -26,23 +26,24 @@ def named(decoder: str) -> Callable[[bytes], Iterable[tuple[int, bytes]]]:
     return getattr(importlib.import_module(module), name)
 
 
-def recorded_frames(spark: SparkSession, path: str, decoder: Callable[[bytes | str], Iterable[tuple[int, bytes]]] | str, fps: float, per_second: float = 30.0,
+def recorded_frames(spark: SparkSession, path: str, decoder: Callable[[bytes | str], Iterable[tuple[int, bytes]]] | str, fps: float | Callable[[str], float], per_second: float = 30.0,
                     start: float = 0.0, pattern: str = "*", by_path: bool = False) -> DataFrame:
     """Rows match_id, frame_index, timestamp_seconds, source_path, image of every recording under ``path``.
 
     One recording is one task's work and is decoded from its start, frame by frame; a missing path is an error.
-    ``by_path`` hands the decoder the path, which it reads as it goes; its bytes, which have to fit in one cell, otherwise.
+    ``fps`` may be a function of the path. ``by_path`` hands the decoder the path, which it reads as it goes; its bytes, which have to fit in one cell, otherwise.
     """
     decode = named(decoder) if isinstance(decoder, str) else decoder
-    rate = fps if fps > 0 else 29.97
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for source, content in zip(b["path"], b["path" if by_path else "content"], strict=True):
                 stem = source.rsplit("/", 1)[-1].rsplit(".", 1)[0].replace(" ", "_")
                 rows = []
+                own = fps(source) if callable(fps) else fps
+                rate = own if own > 0 else 29.97
                 for i, image in decode(content):
-                    if kept_frame(i, fps, per_second, start):
+                    if kept_frame(i, own, per_second, start):
                         rows.append((stem, i, i / rate, source, image))
                     if len(rows) >= 256:
                         yield pd.DataFrame(rows, columns=["match_id", "frame_index", "timestamp_seconds", "source_path", "image"])

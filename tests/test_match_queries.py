@@ -160,11 +160,15 @@ def test_ticks_with_missing_images(spark):
 
 
 def test_report_without_players(spark):
-    facts = spark.createDataFrame([(0, 1, 2, 3)], "m int, nades int, stuns int, specialties int")
-    stats = spark.createDataFrame([], "m int, player_id long, name string, kills long, deaths long")
-    lines = [r.line for r in sinks.report(stats, facts, ["m"], [F.lit("Head")], {"Blue score": F.lit(None)}, {"killfeed": "waiting"}).orderBy("line_number").collect()]
-    assert lines == ["Head", "", "Registered Players:", "- none", "", "Player Kills:", "- none", "", "Player Deaths:", "- none", "", "Utility Counts:", "Grenade: 1", "Stun: 2", "Specialty equipment: 3", "",
-                     "Hardpoint:", "Blue score: None", "", "Module Status:", "- killfeed: waiting"]
+    counters = ", ".join(f"{c} int" for c in sinks.COUNTERS.values())
+    facts = spark.createDataFrame([(0, 1, 2, 3, *range(13))], f"m int, nades int, stuns int, specialties int, {counters}")
+    stats = spark.createDataFrame([], "m int, player_id long, name string, kills long, deaths long, detections long")
+    got = sinks.report(stats, facts, ["m"], {"Source": F.lit("x")}, {"Visible": F.lit(None)}, {"Blue score": F.lit(None)}, F.lit(0.5), {"killfeed": F.lit("waiting")})
+    lines = [r.line for r in got.orderBy("line_number").collect()]
+    assert lines[:8] == ["Validation Summary", "Source: x", "", "Registered Players:", "- none", "", "Scoreboard Registration:", "Visible: None"]
+    assert lines[8:25] == ["", "Killfeed Counts:", *(f"{k}: {i}" for i, k in enumerate(sinks.COUNTERS)), "Player detection counts:", "- none"]
+    assert lines[25:] == ["", "Player Kills:", "- none", "", "Player Deaths:", "- none", "", "Utility Counts:", "Grenade: 1", "Stun: 2", "Specialty equipment: 3", "", "Hardpoint:", "Blue score: None", "",
+                          "OCR confidence: 0.5", "", "Module Status:", "- killfeed: waiting"]
 
 
 def test_feed_score():

@@ -125,6 +125,6 @@ def test_recorded_frames(spark, tmp_path):
     (tmp_path / "my match.bin").write_bytes(bytes(range(40)))
     got = recorded_frames(spark, str(tmp_path), lambda raw: ((i, bytes([b])) for i, b in enumerate(raw)), 30, 4, 0.5).orderBy("frame_index").collect()
     assert [(r.match_id, r.frame_index, r.timestamp_seconds, bytes(r.image)) for r in got] == [("my_match", i, i / 30, bytes([i])) for i in (16, 24, 32)]
-    by_path = recorded_frames(spark, str(tmp_path), lambda path: ((i, bytes([b])) for i, b in enumerate(open(path.removeprefix("file:").replace("%20", " "), "rb").read())), 30, 4, 0.5, by_path=True).orderBy("frame_index")  # noqa: SIM115
+    by_path = recorded_frames(spark, str(tmp_path), lambda path: ((i, bytes([b])) for i, b in enumerate(open(path.removeprefix("file:").replace("%20", " "), "rb").read())), lambda path: 30.0, 4, 0.5, by_path=True).orderBy("frame_index")  # noqa: SIM115
     assert [(r.frame_index, bytes(r.image)) for r in by_path.collect()] == [(i, bytes([i])) for i in (16, 24, 32)]
     assert kept_frame(0, 0, 100, 0) and not kept_frame(29, 29.97, 1, 1)
