@@ -21,6 +21,8 @@ from hillstream.llm.quality_rules import quality_rules
 from hillstream.llm.simhash import simhash_groups
 
 NO_ID = -(1 << 63)
+#: Bits in which near duplicates may differ: more than in op2_simhash, whose 2 find almost equal texts only.
+RADIUS = 4
 
 
 def _key(doc_id: str) -> Column:
@@ -51,8 +53,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, null last, then the smallest digest."""
-    rows = simhash_groups(docs.withColumn("digest", _digest(F.col("text"))), row_col="digest")
+    """Of each group of near duplicates, linked at RADIUS bits, the document with the smallest doc_id, null last, then the smallest digest."""
+    rows = simhash_groups(docs.withColumn("digest", _digest(F.col("text"))), row_col="digest", radius=RADIUS)
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("best"))
     return _only(docs, kept.select("best.doc_id", "best.digest"), _digest(F.col("text")))
 

@@ -52,7 +52,7 @@ def test_exact(stages):
 
 def test_near(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages["exact_dedup"]]
-    groups = test_simhash.groups([i for i, _ in rows], [test_simhash.plain(t) for _, t in rows])
+    groups = test_simhash.groups([i for i, _ in rows], [test_simhash.plain(t) for _, t in rows], corpus_pipeline.RADIUS)
     assert sorted(r["doc_id"] for r in stages["near_dedup"]) == sorted(set(groups))
 
 

@@ -4,7 +4,7 @@ import xxhash
 
 from hillstream.llm._store import Store
 from hillstream.llm.components import components
-from hillstream.llm.simhash import fingerprint, links, masks, simhash_groups
+from hillstream.llm.simhash import fingerprint, flips, links, masks, simhash_groups
 from tests.llm import edge
 
 
@@ -17,7 +17,7 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def groups(ids, fps):
+def groups(ids, fps, radius=2):
     """component of each row by checking all pairs."""
     label = list(range(len(ids)))
 
@@ -28,7 +28,7 @@ def groups(ids, fps):
 
     for i in range(len(ids)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
                 label[find(i)] = find(j)
     least = {}
     for i, x in enumerate(ids):
@@ -47,13 +47,26 @@ def test_fingerprint():
         assert fingerprint(t) == plain(t)
 
 
-@pytest.mark.parametrize("small", [64, 1])
-def test_equals_brute_force(spark, small):
+def test_every_four_bits_are_left_out_by_a_mask():
+    m = [x & (1 << 64) - 1 for x in masks(radius=4)]
+    rng = np.random.default_rng(4)
+    some = [sum(1 << int(i) for i in rng.choice(64, 4, replace=False)) for _ in range(5000)]
+    assert len(m) == 31 and all(any(not v & x for v in m) for x in some) and min(v.bit_count() for v in m) >= 31
+    assert len(flips(2)) == len(set(flips(2))) == 1 + 64 + 64 * 63 // 2
+
+
+def test_odd_radius(spark):
+    with pytest.raises(ValueError):
+        links(spark.createDataFrame([(1,)], "fp long"), Store(spark, "test"), radius=3)
+
+
+@pytest.mark.parametrize("small, radius", [(64, 2), (1, 2), (64, 4), (1, 4)])
+def test_equals_brute_force(spark, small, radius):
     d = edge.small()
     rows = [r[:2] for r in edge.rows()] + [(int(i) + 1000, t) for i, t in zip(d.doc_id, d.text, strict=True)]
-    got = sorted(map(tuple, simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), small=small).collect()), key=str)
+    got = sorted(map(tuple, simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), small=small, radius=radius).collect()), key=str)
     fps = [plain(t) for _, t in rows]
-    want = groups([i for i, _ in rows], fps)
+    want = groups([i for i, _ in rows], fps, radius)
     assert got == sorted(((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, want, strict=True)), key=str)
     assert len({c for _, _, c in got}) < len(rows)
 
