@@ -69,16 +69,22 @@ def grams(words: Counter) -> Counter:
 
     Slots are hashes, so there are KINDS * SLOTS of them at most, whatever the alphabets.
     """
-    out: Counter = Counter()
-    for w, k in words.items():
-        s = f"^^{w}$"
-        for i in range(2, len(s)):
-            for j in range(3):
-                out[j, s[i - j : i + 1]] += k
-                out[3 + j, s[i - j : i]] += k
     slots: Counter = Counter()
-    for (kind, gram), k in out.items():
-        slots[kind * SLOTS + _SLOT(gram) % SLOTS] += k
+    if not words:
+        return slots
+    times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 3
+    x = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    # places of the letters and ends of words, past the two marks at each beginning
+    at = np.flatnonzero(np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= 2)
+    weight = np.repeat(times, sizes)[at].astype(np.float64)
+    before, last, c = x[at - 2] << 21, x[at - 1], x[at]
+    keys = (c, last << 21 | c, before << 21 | last << 21 | c, c * 0, last, before | last)
+    for kind, (key, length) in enumerate(zip(keys, (1, 2, 3, 0, 1, 2), strict=True)):
+        some, which = np.unique(key, return_inverse=True)
+        for code, n in zip(some.tolist(), np.bincount(which, weight).tolist(), strict=True):
+            gram = "".join(chr(code >> 21 * k & (1 << 21) - 1) for k in range(length - 1, -1, -1))
+            slots[kind * SLOTS + _SLOT(gram) % SLOTS] += int(n)
     return slots
 
 
