@@ -120,8 +120,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = store.put(own.mapInArrow(partial(_fingerprints, width), ", ".join(["doc_id long, fp long", *(f"`{c}` binary" for c in more)])), "own")
     nodes = store.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), store, small, radius), store)
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = store.put(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written, so that the join is one of plain shuffles and a large component's rows can be split
+    least = store.put(nodes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "group_root"), "least-id")
     with_root = ["root"] if row_col else []
-    named = store.put(nodes.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id", *with_root), "named")
+    named = store.put(nodes.join(least, F.col("root") == F.col("group_root")).select(F.col("fp").alias("node_fp"), "component_id", *with_root), "named")
     return own.join(named, own.fp == named.node_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more, *with_root)
