@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker keeps; the results do not depend on it.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: Characters of the texts that are encoded together.
+TOGETHER = 1 << 19
 
 
 def byte_chars() -> list[str]:
@@ -84,23 +87,41 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        cut = self.cut(text)
-        if new := [t for t in set(cut) if t not in self.known]:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pre-tokens that are new to the worker go to the model in one call, whose cost would weigh on each text."""
+        cuts = [self.cut(t) for t in texts]
+        all_ = set().union(*cuts)
+        new = [t for t in all_ if t not in self.known]
+        if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = list(set(cut))
+                self.known, new = {}, list(all_)
             raw = [t.encode() for t in new]
             merged = [k for k, r in enumerate(raw) if r not in self.whole]
             ids = self.sp.encode([raw[k].decode("latin-1").translate(self.to_chars) for k in merged], out_type=int, num_threads=1)
             found = dict(zip(merged, ids, strict=True))
             for k, (t, r) in enumerate(zip(new, raw, strict=True)):
                 self.known[t] = struct.pack(f"<{len(x)}I", *x) if (x := found.get(k)) is not None else struct.pack("<I", self.whole[r])
-        return b"".join(map(self.known.__getitem__, cut))
+        return [b"".join(map(self.known.__getitem__, cut)) for cut in cuts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in order, in groups of TOGETHER characters or a little more."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
@@ -116,8 +137,7 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
         bpe = ByteBpe(model.value, pattern)
         for b in batches:
             n, one, two, all_ids = [], [], [], []
-            for t in b.column(1):
-                got = bpe.encode(t.as_py() or "")
+            for got in itertools.chain.from_iterable(map(bpe.encode_all, grouped(t.as_py() or "" for t in b.column(1)))):
                 n.append(len(got) // 4)
                 one.append(hashlib.sha256(got).hexdigest())
                 two.append(hashlib.sha256(bpe.decode(got)).hexdigest())

@@ -61,3 +61,15 @@ def test_frame(spark):
     got = byte_bpe(edge.frame(spark), PATH, P.PATTERN, ids=True).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert byte_bpe(edge.frame(spark, []), PATH, P.PATTERN).collect() == []
+
+
+def test_groups_of_texts(monkeypatch):
+    from hillstream.llm import byte_bpe as module
+
+    texts = [t or "" for t in edge.TEXTS] * 2
+    assert [x for g in module.grouped(texts) for x in g] == texts and list(module.grouped([])) == []
+    monkeypatch.setattr(module, "TOGETHER", 100)
+    monkeypatch.setattr(module, "REMEMBERED", 5)
+    own = ByteBpe(sentencepiece_model(read_ranks(PATH)), P.PATTERN)
+    assert len(list(module.grouped(texts))) > 3
+    assert [np.frombuffer(i, "<u4").tolist() for g in module.grouped(texts) for i in own.encode_all(g)] == [THEIRS.encode_ordinary(t) for t in texts]
