@@ -66,7 +66,8 @@ class Registry:
             c.shown[display] = c.shown.get(display, 0) + 1
 
     def top(self, team: str) -> list[Cluster]:
-        return sorted(self.teams[team], key=lambda c: (c.n, c.weight, len(c.name)), reverse=True)[: self.size]
+        """The clusters seen most, then with most weight, the longest name, the oldest. Weights are sums of floats, so equal ones differ in their last bits."""
+        return sorted(self.teams[team], key=lambda c: (c.n, round(c.weight, 6), len(c.name)), reverse=True)[: self.size]
 
     def ready(self) -> bool:
         return all(sum(c.n >= self.least_seen and c.confidence >= self.sure for c in self.top(t)) >= self.size for t in TEAMS)

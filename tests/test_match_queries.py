@@ -133,6 +133,14 @@ def test_registry():
     assert r.ready() and [c.name for c in r.top("friendly")] == ["Alpha", "Bravo", "Gamma", "Kilos"] and r.top("enemy")[0].confidence == pytest.approx(0.85)
 
 
+def test_registry_orders_equal_weights_by_age():
+    r = registration.Registry()
+    for first, second in ((0.3, 0.1), (0.2, 0.2), (0.1, 0.3)):
+        r.see("friendly", [(0, "alpha", "alpha", first), (1, "bravo", "bravo", second)])
+    older, younger = r.teams["friendly"]
+    assert (older.key, younger.key) == ("alpha", "bravo") and older.weight < younger.weight and [c.name for c in r.top("friendly")] == ["alpha", "bravo"]
+
+
 def test_registry_stays_once_it_is_locked(spark):
     names = ["alpha", "bravo", "gamma", "kilos"]
     rows = [(0, f, t, i, n, n, 0.9) for f in range(2) for t in registration.TEAMS for i, n in enumerate(names)] + [(0, 5, t, i, "other" + n, "other" + n, 1.0) for t in registration.TEAMS for i, n in enumerate(names)]
