@@ -153,6 +153,14 @@ def test_registry_stays_once_it_is_locked(spark):
     assert [(r.m, r.frame, r.locked) for r in done] == [(0, 1, True)]
 
 
+def test_registration_done_lists_equal_weights_by_age(spark):
+    sure = {"alpha": (0.83, 0.6), "bravo": (0.62, 0.81), "gamma": (0.9, 0.9), "kilos": (0.7, 0.7)}  # alpha and bravo both add up to 1.43, bravo in floats to a bit more
+    rows = [(0, f, t, i, n, n, c[f]) for t in registration.TEAMS for i, (n, c) in enumerate(sure.items()) for f in range(2)]
+    df = spark.createDataFrame(rows, "m int, frame int, team string, slot_index int, display_name string, normalized_name string, confidence double")
+    done = registration.completed(registration.registered(df, ["m"], "frame"), ["m"], "frame").collect()
+    assert [(r.frame, r.players) for r in done] == [(1, ["gamma", "alpha", "bravo", "kilos"] * 2)]
+
+
 def test_gates(spark):
     rows = [("3", 0.9, 0.7, 0.5), ("6", 0.9, 0.6, 0.5), ("33", 0.9, 0.2, 0.8), ("3", 0.8, 0.7, 0.7), (None, 0.9, 0.3, 0.59)]
     got = spark.createDataFrame(rows, "d string, c double, zero double, one double").select(gates.hill_reading(F.col("d"), F.col("c")), gates.counter_reading(F.col("zero"), F.col("one"))).collect()
