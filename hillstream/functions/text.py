@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,6 +165,68 @@ def feed_score(x: str, y: str) -> float:
     return min(1.0, 0.17 * ratio(x, y) + 0.10 * held + 0.22 * two + 0.24 * three + 0.12 * common_part(x, y) + 0.15 * (short / long))
 
 
+_known_score = lru_cache(1 << 16)(feed_score)
+
+
+def _marked(texts: list[str], parts: Callable[[str], frozenset], at: dict, width: int) -> np.ndarray:
+    """How many parts of each text fall in each column; parts that share a column only raise what two texts seem to share."""
+    out = np.zeros((len(texts), width), dtype="float32")
+    for i, x in enumerate(texts):
+        for g in parts(x):
+            if (k := at.get(g)) is not None:
+                out[i, k] += 1
+    return out
+
+
+def _shared(texts: list[str], names: list[str], parts: Callable[[str], frozenset], most: int = 4096) -> np.ndarray:
+    """For each text and name the number of parts they share, or more where there are over ``most`` parts."""
+    at = {g: k % most for k, g in enumerate(dict.fromkeys(g for x in names for g in parts(x)))}
+    width = min(most, max(1, len(at)))
+    return _marked(texts, parts, at, width) @ _marked(names, parts, at, width).T
+
+
+@lru_cache(1 << 16)
+def _letters(x: str) -> frozenset:
+    """Each letter with its place among the equal ones, so that sets share what multisets do."""
+    return frozenset((c, x.count(c, 0, i)) for i, c in enumerate(x))
+
+
+def feed_bounds(texts: list[str], names: list[str]) -> np.ndarray:
+    """For each text and name, none empty, a number that ``feed_score`` does not exceed: what the sequence ratio and the longest common part add is bounded by shared letters."""
+    a, b = np.array([[len(x)] for x in texts], dtype="float64"), np.array([len(x) for x in names], dtype="float64")
+    short, long = np.minimum(a, b), np.maximum(a, b)
+    letters = _shared(texts, names, _letters)
+    out = 0.29 * np.minimum(1.0, 2 * letters / (a + b)) + np.where(letters >= short, 0.25, 0.15) * short / long
+    for n, weight in ((2, 0.22), (3, 0.24)):
+        sizes = np.maximum(1, np.array([[len(_grams(x, n))] for x in texts]) + np.array([len(_grams(x, n)) for x in names]))
+        out += weight * np.where(short >= n, np.minimum(1.0, 2 * _shared(texts, names, partial(_grams, n=n)) / sizes), 0.0)
+    return np.where(letters >= long, 1.0, out) + 1e-5
+
+
+def best_names(texts: list[str], names: list[str], most: int = 4096) -> tuple[list[int], list[float]]:
+    """For each text the place of the name with the highest ``feed_score``, the first on ties, and the score; no text and no name is empty.
+
+    Only names whose bound reaches the best score so far are compared in full. Names are taken ``most`` at a time.
+    """
+    at, best = [-1] * len(texts), [0.0] * len(texts)
+    for begin in range(0, len(names), most):
+        some = names[begin : begin + most]
+        bounds = feed_bounds(texts, some)
+        for i, (x, first) in enumerate(zip(texts, bounds.argmax(axis=1), strict=True)):
+            if bounds[i, first] < best[i]:
+                continue
+            found, score = first, _known_score(x, some[first])
+            rest = np.flatnonzero(bounds[i] >= max(score, best[i]))
+            for k in rest[np.argsort(-bounds[i, rest], kind="stable")] if len(rest) > 1 else ():
+                if bounds[i, k] < score:
+                    break
+                if (other := _known_score(x, some[k])) > score or other == score and k < found:
+                    found, score = k, other
+            if score > best[i]:
+                at[i], best[i] = begin + int(found), score
+    return at, best
+
+
 def feed_similarity(a: Column, b: Column) -> Column:
     """``feed_score`` of two columns; empty and equal names are settled without Python."""
     settled = (F.length(a) == 0) | (F.length(b) == 0) | (a == b)

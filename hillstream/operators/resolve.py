@@ -13,38 +13,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hillstream.functions.geometry import alike, overlap
-from hillstream.functions.text import feed_score, roster_similarity
+from hillstream.functions.text import best_names, roster_similarity
 
 
-def best_player(texts: DataFrame, players: DataFrame, keys: list[str], row: list[str], text: str, name: str, pool: Callable[[Column], Column] | None = None) -> DataFrame:
+def best_player(texts: DataFrame, players: DataFrame, keys: list[str], row: list[str], text: str, name: str, pool: Callable[[Column], Column] | None = None, most: int = 512) -> DataFrame:
     """For each normalised text the player of its roster with the highest ``feed_score``; the smallest player_id on ties, none at 0.
 
     ``keys`` tie a text to its roster (a match) and are needed: without them every text would meet every player.
-    A roster is one array beside its texts, so no pairs are made; texts are dealt evenly, since comparing takes the time.
-    ``pool`` says of a player (a struct with the columns of ``players``) whether the text may be theirs.
+    Equal texts of a roster are compared once, with its different names, and joined to their rows afterwards. A roster is one array beside
+    up to ``most`` texts, so no pairs are made; these are dealt evenly, since comparing takes the time.
+    ``pool`` says of a player (a struct with the columns of ``players``) whether the text may be theirs; it may look at all columns
+    of a text's row, so with it only equal rows are taken together.
     """
     if not keys:
         raise ValueError("a roster is joined by the keys of its match")
-    others = [c for c in players.columns if c not in (*keys, "player_id")]
-    roster = players.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("player_id", *others))).alias("_roster"))
-    near = texts.select(*keys, *row, F.col(text).alias("_text"), *(c for c in texts.columns if c not in (*keys, *row))).join(roster, keys)
+    beside = [] if pool is None else [c for c in texts.columns if c not in keys]
+    each = players.filter(F.length(name) > 0)
+    if pool is None:
+        each = each.groupBy(*keys, name).agg(F.min("player_id").alias("player_id"))
+    others = [c for c in each.columns if c not in (*keys, "player_id")]
+    roster = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("player_id", *others))).alias("_roster"))
+    asked = texts.select(*keys, *beside, F.col(text).alias("_text")).filter(F.length("_text") > 0).distinct()
+    number = F.row_number().over(Window.partitionBy(*keys, *beside).orderBy("_text"))
+    some = asked.withColumn("_part", F.floor((number - 1) / most)).groupBy(*keys, *beside, "_part").agg(F.collect_list("_text").alias("_texts")).drop("_part")
+    near = some.join(roster, keys)
     if pool is not None:
         near = near.withColumn("_roster", F.filter("_roster", pool))
 
-    def pick(some: pd.Series, ids: pd.Series, names: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, i, n in zip(some, ids, names, strict=True):
-            best = (None, None, 0.0)
-            for who, known in zip(i, n, strict=True):
-                if (score := feed_score(t or "", known or "")) > best[2]:
-                    best = (who, known, score)
-            out.append(best)
-        return pd.DataFrame(out, columns=["player_id", "name", "score"])
-
-    found = F.pandas_udf(pick, "player_id long, name string, score double")(F.col("_text"), F.transform("_roster", lambda p: p["player_id"]), F.transform("_roster", lambda p: p[name]))
+    def pick(some: pd.Series, names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_names(list(t), list(n)) for t, n in zip(some, names, strict=True)], columns=["at", "score"])
+
+    found = F.pandas_udf(pick, "at array<int>, score array<double>")(F.col("_texts"), F.transform("_roster", lambda p: p[name]))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    best = near.repartition(parts).select(*keys, *row, found.alias("_b")).filter("_b.score > 0")
-    return best.select(*keys, *row, F.col("_b.player_id").alias("player_id"), F.col("_b.name").alias(name), F.col("_b.score").alias("score"))
+    best = near.repartition(parts).select(*keys, *beside, "_texts", "_roster", found.alias("_b"))
+    best = best.select(*keys, *beside, "_roster", F.explode(F.arrays_zip("_texts", F.col("_b.at").alias("at"), F.col("_b.score").alias("score"))).alias("_b")).filter("_b.score > 0")
+    who = F.get("_roster", F.col("_b.at"))
+    best = best.select(*(F.col(c).alias(f"_key_{c}") for c in (*keys, *beside)), F.col("_b._texts").alias("_text"), who["player_id"].cast("long").alias("_player"), who[name].alias("_name"), F.col("_b.score").alias("_score"))
+    same = F.col(text) == F.col("_text")
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_key_{c}"))
+    for c in beside:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return texts.join(best, same).select(*keys, *row, F.col("_player").alias("player_id"), F.col("_name").alias(name), F.col("_score").alias("score"))
 
 
 def variant_pool(variant: Column, team: Column) -> Column:

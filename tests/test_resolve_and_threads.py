@@ -102,3 +102,37 @@ def test_images():
     assert image.changed_share(g, None) == 1 and image.changed_share(g, ~g) == 1 and image.changed_share(g, g) == 0
     assert image.best_digits([[(2, 0.9), (7, 0.95)], [(5, 0.8)], [(0, 0.9), (9, 0.99)]], lambda s: int(s) <= 250) == (250, pytest.approx(2.6 / 3))
     assert image.in_range_share(np.full((2, 2, 3), 5), (0, 0, 0), (9, 9, 9)) == 1
+
+
+def test_best_names_equals_comparing_all(monkeypatch):
+    import random
+
+    from hillstream.functions import text
+
+    r = random.Random(5)
+    for letters, longest in (("ab", 3), ("abc", 8), ("abcdefgh0", 30), ("\u00e9\U0001f600ab", 8)):
+        word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, longest)))
+        names, texts = [word() for _ in range(25)], [word() for _ in range(10)]
+        texts += names[:2]
+        for most in (4, 4096):
+            for x, at, score in zip(texts, *text.best_names(texts, names, most), strict=True):
+                all_ = [text.feed_score(x, n) for n in names]
+                assert (at, score) == (all_.index(max(all_)), max(all_))
+        few = text._shared(texts, names, text._letters, 2)
+        assert all(few[i, k] >= len(text._letters(x) & text._letters(n)) for i, x in enumerate(texts) for k, n in enumerate(names))
+    assert text.best_names(["a"], []) == ([-1], [0.0])
+
+    names, calls = ["".join(r.choice("abcdefghij") for _ in range(20)) for _ in range(300)], []
+    monkeypatch.setattr(text, "_known_score", lambda x, y: calls.append(x) or text.feed_score(x, y))
+    assert text.best_names([n[:4] + n[5:] for n in names], names)[0] == list(range(300)) and len(calls) < 2 * 300
+
+
+def test_best_player_compares_copies_once(spark):
+    names = ["".join(chr(97 + (i * k + i + k) % 26) for k in range(12)) for i in range(8)]
+    players = spark.range(16_000).select((F.col("id") % 2).alias("m"), (F.col("id") + 7).alias("player_id"), F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("id") / 2) % 8 + 1).cast("int")).alias("name"))
+    texts = players.select("m", F.col("player_id").alias("i"), F.substring("name", 2, 20).alias("t"))  # 64 million pairs of rows, 128 of different names
+    got = resolve.best_player(texts, players, ["m"], ["i"], "t", "name").collect()
+    want = {(r.m, r.name): r.player_id for r in players.groupBy("m", "name").agg(F.min("player_id").alias("player_id")).collect()}
+    cut = {n[1:]: n for n in names}
+    assert len(got) == 16_000 and all(r.player_id == want[r.m, r.name] for r in got)
+    assert {r.i: r.name for r in got} == {r.i: cut[r.t] for r in texts.collect()}
