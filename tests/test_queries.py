@@ -3,6 +3,7 @@ import json
 import os
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -60,3 +61,15 @@ def test_registry_gate_takes_every_ready_match(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["registry_gate"](spark, str(tmp_path)).collect())
     assert got == sorted((m, i) for m, i in zip(e.m, e.event_id, strict=True) if m in ready)
     assert 3 not in ready and len(ready) >= 10 and any(m % 2 for m in ready) and (e.m == 3).any()
+
+
+def test_registration_done_equals_sql_where_weights_are_equal(spark, tmp_path):
+    k = {0: (23, 40), 10: (2, 61), 20: (39, 39), 30: (38, 38)}  # of the friends, users 0 and 10 both add up to 1.43, in floats the younger name to a bit more
+    e = [(pd.Timestamp("2024-01-01") + pd.Timedelta(days=day, minutes=u), u, x) for u, both in k.items() for day, seen in enumerate(both) for x in (33, seen)]
+    t = pa.table({"event_id": range(len(e)), "ts": [x[0] for x in e], "user_id": [x[1] for x in e], "event_type": ["view"] * len(e), "value": [1.0] * len(e), "props": [json.dumps({"k": x[2]}) for x in e]})
+    pq.write_table(t.set_column(1, "ts", t["ts"].cast(pa.timestamp("us"))), tmp_path / "events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    ours = QUERIES["registration_done"](spark, str(tmp_path)).toArrow()
+    assert rows(ours) == rows(c.sql(SQL["registration_done"]).to_arrow_table())
+    assert [(r["frame"], r["players"].split(",")[2:4]) for r in ours.to_pylist()] == [(1, ["kestrel", "Drifter"])]
